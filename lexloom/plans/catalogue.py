@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexloom.plans import graph_queries, text_queries
+from lexloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+_REGISTRIES = (graph_queries.reg, text_queries.reg)
 
 
-def children_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return nation.join(customer, F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", "c_custkey", "c_name").orderBy("n_name", "c_custkey")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"children_ordered": children_ordered}
+def queries() -> dict[str, Query]:
+    return {k: v for r in _REGISTRIES for k, v in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"children_ordered": "select n_name, c_custkey, c_name from nation join customer on n_nationkey = c_nationkey"}
+    return {k: v for r in _REGISTRIES for k, v in r.sql.items()}
