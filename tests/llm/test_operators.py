@@ -326,7 +326,7 @@ def components(prints, radius=4):
                 root[find(a)] = find(b)
     least = {}
     for p in ps:
-        least[find(p)] = min(least.get(find(p), 1 << 62), prints[p])
+        least[find(p)] = min(least.get(find(p), prints[p]), prints[p])
     return {p: least[find(p)] for p in ps}
 
 

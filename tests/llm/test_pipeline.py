@@ -24,7 +24,7 @@ def test_stages_and_run(spark, tmp_path):
     last = {tuple(r) for r in docs.collect()}
     assert last and {tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()} == last
     kept = {r["doc_id"] for r in docs.collect()}
-    assert 60 not in kept and 61 not in kept  # copies of document 5
+    assert 80 not in kept and 81 not in kept  # copies of document 5
     assert not kept & {83, 84, 85, 87}  # null, empty, blank and wordless texts
 
 
