@@ -177,9 +177,13 @@ def intent(question: Column) -> Column:
     )
 
 
+def _after(prefix: str):
+    return lambda x: F.concat(F.lit(prefix), x)
+
+
 def search_terms(question: Column, fuzzy: bool = True) -> Column:
     """Section and rule phrases, then words that are no stopwords; fuzzy marks words of four and more."""
-    phrases = F.concat(*[F.transform(F.regexp_extract_all(question, F.lit(f"(?i){kind}\\s+(\\d+)"), F.lit(1)), lambda x, kind=kind: F.concat(F.lit(f"{kind} "), x)) for kind in ("section", "rule")])
+    phrases = F.concat(*[F.transform(F.regexp_extract_all(question, F.lit(f"(?i){kind}\\s+(\\d+)"), F.lit(1)), _after(f"{kind} ")) for kind in ("section", "rule")])
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     words = F.filter(F.regexp_extract_all(F.lower(question), F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
     if fuzzy:

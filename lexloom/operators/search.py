@@ -28,6 +28,10 @@ def term_statistics(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.countDistinct("uid").alias("df"), F.sum("tf").alias("tf"))
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], least: float | None = None, top: int = TOP, digits: int = 6) -> DataFrame:
     """key, score of the best documents for a query.
 
@@ -36,7 +40,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], least: floa
     """
     wanted = sorted(set(terms))
     split = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    counted = split.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{k}") for k, w in enumerate(wanted)])
+    counted = split.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", _equals(w))).alias(f"tf{k}") for k, w in enumerate(wanted)])
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))])
     found = counted.where(" or ".join(f"tf{k} > 0" for k in range(len(wanted))) or "false").crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)

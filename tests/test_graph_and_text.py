@@ -8,51 +8,48 @@ from lexloom.operators import graph, report, resolve, search
 from lexloom.plans.engine import Engine, NOT_FOUND, citations_of, prepare, sources_of
 
 
-def one(spark, value, column):
-    return spark.createDataFrame([(value,)], "t string").select(column.alias("x")).first()["x"]
-
-
-C = F.col("t")
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
 
 
 @pytest.mark.parametrize(("text", "want"), [("a\0b   c\n\n\n\nd", "ab c\n\nd"), ("“x” — y–z", '"x" -- y-z'.replace('" --', '"  --').replace("  ", " ")), ("", "")])
 def test_normalize(spark, text, want):
-    assert one(spark, text, T.normalize(C)) == want
+    assert one(spark, text, T.normalize) == want
 
 
 def test_form_strip_and_slug(spark):
-    assert one(spark, "Name......... ( ) ( ) ( ) ____________ x -------- y * * * * z", T.strip_form_templates(C)) == "Name x - y z"
-    assert one(spark, " The Companies (Act)! ", T.slugify(C)) == "the-companies-act"
+    assert one(spark, "Name......... ( ) ( ) ( ) ____________ x -------- y * * * * z", T.strip_form_templates) == "Name x - y z"
+    assert one(spark, " The Companies (Act)! ", T.slugify) == "the-companies-act"
 
 
 def test_language_and_garble(spark):
-    assert one(spark, "धारा", T.script_language(C)) == "hi"
-    assert one(spark, "क " + "abcd", T.script_language(C)) == "mixed"
-    assert one(spark, "", T.script_language(C)) == "en"
-    assert one(spark, "()() ---- 123 ()() ---- 123 (((())))", T.is_garbled(C)) is True
-    assert one(spark, "plain words of a text", T.is_garbled(C)) is False
+    assert one(spark, "धारा", T.script_language) == "hi"
+    assert one(spark, "क " + "abcd", T.script_language) == "mixed"
+    assert one(spark, "", T.script_language) == "en"
+    assert one(spark, "()() ---- 123 ()() ---- 123 (((())))", T.is_garbled) is True
+    assert one(spark, "plain words of a text", T.is_garbled) is False
 
 
 def test_quality(spark):
-    q = one(spark, "The company shall file with the registrar under this section of the act, and the board may appoint a director.", T.quality(C))
+    q = one(spark, "The company shall file with the registrar under this section of the act, and the board may appoint a director.", T.quality)
     assert q["is_usable"] and q["score"] > 60 and q["issues"] == []
-    e = one(spark, "   ", T.quality(C))
+    e = one(spark, "   ", T.quality)
     assert (e["score"], e["is_usable"], e["issues"]) == (0.0, False, ["EMPTY_TEXT"])
-    n = one(spark, "x\0" * 30, T.quality(C))
+    n = one(spark, "x\0" * 30, T.quality)
     assert "NULL_BYTES" in n["issues"] and not n["is_usable"]
 
 
 @pytest.mark.parametrize(("question", "want"), [("What amendments were made to section 135?", "structured_lookup"), ("How was section 135 amended?", "amendment_query"), ("What is the penalty under section 447?", "penalty_query"), ("What is the penalty?", "structured_lookup"), ("Which sections refer to section 135?", "cross_reference"), ("How many sections are there?", "general_info"), ("What is section 2?", "structured_lookup")])
 def test_intent(spark, question, want):
-    assert one(spark, question, T.intent(C)) == want
+    assert one(spark, question, T.intent) == want
 
 
 def test_guard_terms_citations(spark):
-    assert one(spark, "match (n) detach delete n", T.is_write(C)) and not one(spark, "select 'drop it' as created", T.is_write(C))
-    assert one(spark, "What does section 135 say about directors", T.search_terms(C)) == "section 135 section~ say directors~"
-    assert one(spark, "see [sec-1] and [def-x] and [sec-1] [Nope]", T.citations(C)) == ["sec-1", "def-x"]
-    assert [one(spark, u, T.label_of_uid(C)) for u in ("sec-1-ss-2-cl-a", "sec-1-proviso-1", "rule-3", "schedule-i")] == ["Clause", "Proviso", "Rule", "Schedule"]
-    assert [one(spark, u, T.target_uid(C)) for u in ("section 135", "section 149A", "rule 3", "section 135(1)")] == ["sec-135", None, None, None]
+    assert one(spark, "match (n) detach delete n", T.is_write) and not one(spark, "select 'drop it' as created", T.is_write)
+    assert one(spark, "What does section 135 say about directors", T.search_terms) == "section 135 section~ say directors~"
+    assert one(spark, "see [sec-1] and [def-x] and [sec-1] [Nope]", T.citations) == ["sec-1", "def-x"]
+    assert [one(spark, u, T.label_of_uid) for u in ("sec-1-ss-2-cl-a", "sec-1-proviso-1", "rule-3", "schedule-i")] == ["Clause", "Proviso", "Rule", "Schedule"]
+    assert [one(spark, u, T.target_uid) for u in ("section 135", "section 149A", "rule 3", "section 135(1)")] == ["sec-135", None, None, None]
 
 
 D = datetime.date
