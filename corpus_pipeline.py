@@ -25,22 +25,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("lang_pred <> 'und' and not ambiguous").select("_row.*")
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Identifiers ready for a join: broadcast if they are few, else left to a shuffle."""
+    ids = materialize(ids, "pipeline-ids")
+    return F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; documents without id stay."""
-    found = materialize(op7_simhash.near_duplicates(docs), "pipeline-groups")
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.where("doc_id is not null").join(stay.select("doc_id"), "doc_id", "left_semi")
-    if stay.where("n > 1").take(1):  # repeated rows of one id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of each group of near duplicates the document with the least id stays; documents without id stay.
+
+    Rows of one id are one document: one of them stays.
+    """
+    found = op7_simhash.near_duplicates(docs).where("doc_id is not null")
+    each = materialize(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "pipeline-groups")
+    kept = docs.join(_bounded(each.where("not stays").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    if each.where("n > 1 and stays").take(1):
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = materialize(op10_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-leaks")
-    if found.limit(BROADCAST + 1).count() <= BROADCAST:
-        found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = op10_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(_bounded(found), "doc_id", "left_anti").select(docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
