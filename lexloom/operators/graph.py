@@ -107,15 +107,21 @@ def _with_range(df: DataFrame, pos: str, ranges: int = 256) -> DataFrame:
     return df.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(pos))) if cuts else F.lit(0))
 
 
-def nearest_rank(df: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Values at index int(n * q) of each key's sorted values.
+def nearest_rank(df: DataFrame, key: str, value: str, quantiles: dict[str, float], band: float = 0.005) -> DataFrame:
+    """Values at index int(n * q) of each key's sorted values, exactly.
 
-    Counts of distinct values are accumulated, so a key's rows are combined
-    before the window sees them.
+    An approximate percentile brackets each wanted rank; rows below the bracket
+    are only counted, and only the rows inside it (about twice ``band`` of all)
+    are put in order. Few keys with many rows so never sort in one task.
     """
-    counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(key).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy(key)))
-    at = {name: F.least(F.floor(F.col("all") * q), F.col("all") - 1) for name, q in quantiles.items()}
-    picked = [F.min(F.when(F.col("upto") > rank, F.col(value))).alias(name) for name, rank in at.items()]
-    return ranked.groupBy(key).agg(*picked, F.max("all").alias("n"))
+    names = list(quantiles)
+    probes = [min(max(q + d, 0.0), 1.0) for q in quantiles.values() for d in (-band, band)]
+    rough = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx(value, probes, 10_000).alias("at"), F.min(value).alias("least"), F.max(value).alias("most"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("rank"), (F.col("least") if q <= band else F.col("at")[2 * k]).alias("low"), (F.col("most") if q >= 1 - band else F.col("at")[2 * k + 1]).alias("high")) for k, (name, q) in enumerate(quantiles.items())])
+    brackets = rough.select(key, "n", F.explode(wanted).alias("w")).select(key, "n", "w.*")  # a row a key and quantile
+    met = df.select(key, value).join(brackets, key).where(F.col(value) <= F.col("high"))
+    below = F.col(value) < F.col("low")
+    counts = met.groupBy(key, "name", "rank", "n", F.when(~below, F.col(value)).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(key, "name").orderBy(F.asc_nulls_first("v")))
+    found = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & F.col("v").isNotNull())
+    return found.groupBy(key).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names], F.max("n").alias("n"))

@@ -263,13 +263,17 @@ def coverage_pct(spark: SparkSession, d: str) -> DataFrame:
 @reg.query("""with l as (select user_id, ts, event_id, event_type, cast(round(value * 100) as bigint) as v from events where ts <= timestamp '2024-01-20 00:00:00')
 select user_id, list_reduce(list_prepend(0, list(case event_type when 'purchase' then v when 'error' then -1 else null end order by ts, event_id)), lambda a, x: case when x is null then a when x = -1 then 0 else a + x end) as balance, count(*) as chain from l group by user_id""")
 def effective_state_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered fold per key as of a date: purchases add, errors reset, others leave the state alone."""
+    """Ordered fold per key as of a date: purchases add, errors reset, others leave the state alone.
+
+    Resets make the fold two combinable aggregates: the last reset of each key,
+    then the sum of what follows it. No key's events are gathered.
+    """
     rows = table(spark, d, "events").where(F.col("ts") <= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    v = F.round(F.col("value") * 100).cast("long")
-    step = F.when(F.col("event_type") == "purchase", v).when(F.col("event_type") == "error", F.lit(-1).cast("long"))
-    per = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("x")))).alias("chain"))
-    fold = F.aggregate("chain", F.lit(0).cast("long"), lambda a, s: F.when(s["x"].isNull(), a).when(s["x"] == -1, F.lit(0).cast("long")).otherwise(a + s["x"]))
-    return per.select("user_id", fold.alias("balance"), F.size("chain").cast("long").alias("chain"))
+    place = F.struct("ts", "event_id")
+    last = rows.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", place)).alias("reset"), F.count("*").alias("chain"))
+    bought = rows.where("event_type = 'purchase'").select("user_id", place.alias("at"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    after = bought.join(last.select("user_id", "reset"), "user_id").where("reset is null or at > reset").groupBy("user_id").agg(F.sum("v").alias("balance"))
+    return last.join(after, "user_id", "left").select("user_id", F.coalesce("balance", F.lit(0).cast("long")).alias("balance"), "chain")
 
 
 @reg.query("select event_id, user_id from events where ts <= timestamp '2024-01-10 00:00:00'")
