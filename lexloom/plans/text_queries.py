@@ -100,7 +100,7 @@ def audit_quality_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.audit_score(F.col("text")).alias("overall"))
 
 
-@reg.query(f"""with x as (select d.doc_id, case when {CONTENT} < 0.25 and length(text) > 30 then 'garbled' when length(trim(text)) = 0 then 'empty' when {SCORE} < 35 then 'unusable' when l.quality = 0 then 'labelled_bad' else 'kept' end as drop_reason from documents d left join labels l on l.doc_id = d.doc_id)
+@reg.query(f"""with x as (select d.doc_id, case when (length(trim(text)) between 1 and 4) or ({CONTENT} < 0.25 and length(text) > 30) then 'garbled' when length(trim(text)) = 0 then 'empty' when {SCORE} < 35 then 'unusable' when l.quality = 0 then 'labelled_bad' else 'kept' end as drop_reason from documents d left join labels l on l.doc_id = d.doc_id)
 select drop_reason, count(*) as n from x group by drop_reason""")
 def usability_gate(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
@@ -148,7 +148,7 @@ def definition_mining(spark: SparkSession, d: str) -> DataFrame:
 
 
 @reg.query("""with s as (select conv_id, turn, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn, text rows unbounded preceding) as section from conversations)
-select conv_id, cast(section as bigint) as section, count(*) as turns, sum(length(text)) as chars from s group by conv_id, section""")
+select conv_id, cast(section as bigint) as section, count(*) as turns, cast(sum(length(text)) as bigint) as chars from s group by conv_id, section""")
 def state_machine_sections(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(W.unboundedPreceding, 0)
     marked = table(spark, d, "conversations").withColumn("section", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
