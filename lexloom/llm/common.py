@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import workers_import
+
 #: White space that ends a word: blank and the controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,7 +57,8 @@ def release(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches handed to Python by rows, so that long texts fit."""
+    """Bound the Arrow batches handed to Python by rows, so that long texts fit; workers can import us."""
+    workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
