@@ -30,7 +30,9 @@ from lexloom.llm.common import fold, materialize, small_batches
 BUCKETS, WIDTH, NONZERO, WINDOW = 1 << 13, 64, 2, 2
 #: Bound on the labelled rows that train the network.
 SAMPLE = 8192
-HIDDEN, EPOCHS, RATE, DECAY, THRESHOLD = 32, 40, 3e-3, 1e-4, 0.3
+HIDDEN, EPOCHS, RATE, DECAY, THRESHOLD = 32, 40, 3e-3, 1e-3, 0.3
+#: The many vector entries are damped against the few shape figures.
+DAMP = 3.0
 HELD_TOKENS = 400_000
 SHAPE = ("words", "repeated", "upper", "symbols", "marks", "length")
 SIZE = 2 * WIDTH + len(SHAPE)
@@ -165,7 +167,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Network:
         p = min(max(p, 1e-6), 1 - 1e-6)
         return Network(np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))), 1.0)
     rng = np.random.default_rng(seed)
-    center, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    center, spread = x.mean(axis=0), (x.std(axis=0) + 1e-3) * np.where(np.arange(SIZE) < 2 * WIDTH, DAMP, 1.0)
     z = (x - center) / spread
     back = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     fit = np.flatnonzero(~back)
