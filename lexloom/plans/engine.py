@@ -7,7 +7,7 @@ import re
 import time
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -104,7 +104,8 @@ def candidates(question: str, intent: str) -> list[Plan]:
     if intent in ("structured_lookup", "general_info", "cross_reference"):
         out += [Plan("section_with_subsections", n)] if n else [Plan("rule_by_number", {"n": rule.group(1).upper()})] if rule else [Plan("sections_of_chapter", {"chapter": chapter.group(1).upper()})] if chapter else []
         out += [Plan("meaning_of", {"term": words}), Plan("sections_mentioning", {"words": words})] if words else []
-    return list(dict.fromkeys((p.template, tuple(p.slots.items())) for p in out)) and [Plan(t, dict(s)) for t, s in dict.fromkeys((p.template, tuple(p.slots.items())) for p in out)]
+    unique = dict.fromkeys((p.template, tuple(p.slots.items())) for p in out)
+    return [Plan(name, dict(slots)) for name, slots in unique]
 
 
 def sources_of(rows: list[dict]) -> list[dict]:
@@ -213,7 +214,3 @@ class Engine:
     def schema(self) -> dict[str, list[dict]]:
         """Counts by label and by edge type."""
         return {"labels": [r.asDict() for r in templates.label_counts(self.graph).collect()], "relationships": [r.asDict() for r in templates.rel_counts(self.graph).collect()]}
-
-
-def plan_dict(plan: Plan) -> dict:
-    return asdict(plan)
