@@ -122,7 +122,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = materialize(links(prints.select("fp")), "simhash-links")
     roots = connected_components(found, "simhash-components")
-    groups = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = materialize(groups.join(ids, "root").select("fp", "component_id"), "simhash-groups")
+    # tables of their own on both sides: a component of many fingerprints can be split in the join
+    groups = materialize(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-groups")
+    ids = materialize(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
+    by_print = materialize(groups.join(ids, "root").select("fp", "component_id"), "simhash-by-print")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
