@@ -8,10 +8,12 @@ fewer words is one shingle).
 1. Windows. A window that similar shares at least 8/9 of its shingles with the
    item, nearly all of them in order. So shingles of documents are joined with
    those of the benchmark, and per document and item the places are aligned
-   (place in document minus place in item). By the pigeonhole principle one
-   alignment holds a run of a known least length; all starts within the
-   greatest possible drift of such an alignment are windows. All others can't
-   reach the similarity, so nothing is lost by not forming them.
+   (place in document minus place in item). A change of alignment inside such a
+   window leaves at least k - 1 shingles unmatched, so by the pigeonhole
+   principle one alignment holds a run of a known least length; all starts
+   within the greatest possible drift of such an alignment are windows. (Only an
+   item that repeats a run of k - 1 words with another continuation could change
+   alignment for less; its places count for every alignment that they match.)
 2. SimHash of every such window and of every item; RADIUS + 1 Hamming blocks of
    the 64 bits are indexed, and any two fingerprints within RADIUS share a block.
 3. Pairs within RADIUS are verified by the exact similarity.
