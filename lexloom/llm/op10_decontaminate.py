@@ -2,18 +2,17 @@
 
 A document is contaminated by a benchmark item if some window of as many words
 as the item has a weighted (multiset) Jaccard similarity of word shingles of at
-least 0.8 with it. Words are lower-cased; shingles have five words (an item of
-fewer words is one shingle).
+least 0.8 with it; a text shorter than the item is one window as a whole. Words
+are lower-cased; shingles have five words (an item of fewer words is one shingle).
 
 1. Windows. A window that similar shares at least 8/9 of its shingles with the
-   item, nearly all of them in order. So shingles of documents are joined with
-   those of the benchmark, and per document and item the places are aligned
-   (place in document minus place in item). A change of alignment inside such a
-   window leaves at least k - 1 shingles unmatched, so by the pigeonhole
-   principle one alignment holds a run of a known least length; all starts
-   within the greatest possible drift of such an alignment are windows. (Only an
-   item that repeats a run of k - 1 words with another continuation could change
-   alignment for less; its places count for every alignment that they match.)
+   item, in whatever order. So shingles of documents are joined with those of
+   the benchmark, and per document and item the distinct matched places are
+   sorted. With m = ceil(8s/9) places needed of s, the window at a start holds m
+   of them if some run of m consecutive matched places lies inside: the starts
+   from the run's last place - s + 1 to its first place. All such starts, and no
+   others, are windows, wherever parts of the item were moved to. A text of fewer
+   than s shingles needs 4/5 s of them matched.
 2. SimHash of every such window and of every item; RADIUS + 1 Hamming blocks of
    the 64 bits are indexed, and any two fingerprints within RADIUS share a block.
 3. Pairs within RADIUS are verified by the exact similarity.
@@ -35,6 +34,8 @@ from lexloom.llm.common import let, materialize, words_of
 
 WORDS, SIMILAR, RADIUS = 5, 0.8, 20
 BROADCAST = 1_000_000
+#: Start that stands for a whole text with fewer shingles than the item.
+WHOLE = -1
 
 
 def shingle_hashes(words: Column, k: int) -> Column:
@@ -69,6 +70,15 @@ def similarity(a: Column, b: Column) -> Column:
     return let(shared, lambda s: s / (F.size(a) + F.size(b) - s))
 
 
+def starts_of(places: Column, s: Column) -> Column:
+    """WHOLE, and each start whose window of s places holds at least 8s/9 of the sorted places."""
+    need = F.ceil(s * 8 / 9).cast("int")
+    # of the run's starts, those after the place before it: each start comes once
+    run = lambda i: let(F.get(places, i + need - 1) - s + 1, lambda low: F.when(low <= F.get(places, i), F.sequence(F.greatest(low, F.coalesce(F.get(places, i - 1) + 1, F.lit(0)), F.lit(0)), F.get(places, i))).otherwise(F.array().cast("array<int>")))
+    runs = F.when(F.size(places) >= need, F.transform(F.sequence(F.lit(0), F.size(places) - need), run)).otherwise(F.array().cast("array<array<int>>"))
+    return F.concat(F.array(F.lit(WHOLE)), F.flatten(runs))
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, n (words), k (words in a shingle), s (shingles), hashes, item_fp; items without words are left out."""
     split = benchmark.select("item_id", lowered(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(WORDS)).alias("k"), "w")
@@ -82,28 +92,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WORDS values
     held = items.agg(F.coalesce(F.sum(F.col("s") + RADIUS + 1), F.lit(0))).first()[0]
     small = F.broadcast if held <= BROADCAST else (lambda df: df)
-    index = items.select("item_id", "n", "k", "s", F.posexplode("hashes").alias("q", "hash"))
+    index = items.select("item_id", "n", "k", "s", F.explode(F.array_distinct("hashes")).alias("hash"))
     words = docs.select("doc_id", lowered(F.col("text")).alias("w"))
     hits = None
     for k in sizes:
         made = words.select("doc_id", F.posexplode(shingle_hashes(F.col("w"), k)).alias("p", "hash"))
-        found = made.join(small(index.where(F.col("k") == k).drop("k")), "hash").select("doc_id", "item_id", "n", F.lit(k).alias("k"), "s", (F.col("p") - F.col("q")).alias("shift"))
+        found = made.join(small(index.where(F.col("k") == k).drop("k")), "hash").select("doc_id", "item_id", "n", F.lit(k).alias("k"), "s", "p")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, hamming int, start int")
-    # at most s/9 shingles of either side are unmatched, each gap costs k - 1 of them at least
-    runs = 1 + F.col("s") / (9.0 * F.greatest(F.col("k") - 1, F.lit(1)))
-    aligned = hits.groupBy("doc_id", "item_id", "n", "k", "s", "shift").agg(F.count("*").alias("matched")).where(F.col("matched") >= F.col("s") * (8 / 9) / runs)
-    drift = (F.col("s") / 9).cast("int")
-    starts = materialize(aligned.select("doc_id", "n", "k", "s", F.explode(F.sequence(F.col("shift") - drift, F.col("shift") + drift)).alias("start")).where("start >= 0").groupBy("doc_id", "n", "k", "s").agg(F.array_sort(F.collect_set("start")).alias("starts")), "bench-starts")
+    places = hits.groupBy("doc_id", "item_id", "n", "k", "s").agg(F.array_sort(F.collect_set("p")).alias("places")).where(F.size("places") * 5 >= F.col("s") * 4)
+    starts = materialize(places.select("doc_id", "n", "k", "s", F.explode(starts_of(F.col("places"), F.col("s"))).alias("start")).groupBy("doc_id", "n", "k", "s").agg(F.array_sort(F.collect_set("start")).alias("starts")), "bench-starts")
     ids = starts.select("doc_id").distinct()
     if ids.limit(BROADCAST + 1).count() <= BROADCAST:
         ids = F.broadcast(ids)
     some = docs.select("doc_id", "text").alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi").distinct()
     wanted = some.alias("d").join(starts.alias("c"), F.expr("d.doc_id <=> c.doc_id")).select("d.doc_id", "c.n", "c.k", "c.s", "c.starts", lowered(F.col("d.text")).alias("w"))
     hashed = wanted.select("doc_id", "n", "k", "s", "starts", F.coalesce(*[F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in sizes]).alias("all"))
-    windows = hashed.select("doc_id", "n", "k", "s", F.explode(F.transform(F.filter("starts", lambda x: x + F.col("s") <= F.size("all")), lambda x: F.struct(x.alias("start"), F.slice("all", x + 1, F.col("s")).alias("hashes")))).alias("x")).select("doc_id", "n", "k", "s", "x.*")
+    fits = lambda x: F.when(x == WHOLE, F.size("all").between(F.ceil(F.col("s") * 4 / 5), F.col("s") - 1)).otherwise(x + F.col("s") <= F.size("all"))
+    windows = hashed.select("doc_id", "n", "k", "s", F.explode(F.transform(F.filter("starts", fits), lambda x: F.struct(F.greatest(x, F.lit(0)).alias("start"), F.slice("all", F.greatest(x, F.lit(0)) + 1, F.col("s")).alias("hashes")))).alias("x")).select("doc_id", "n", "k", "s", "x.*")
     printed = materialize(windows.withColumn("fp", fingerprint(F.col("hashes"))), "bench-windows")
     blocked = items.select("item_id", "n", "hashes", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block")).withColumnRenamed("hashes", "item_hashes")
     near = F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}")

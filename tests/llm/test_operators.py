@@ -476,3 +476,30 @@ def test_contamination(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op10_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
     assert op10_decontaminate.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_contamination_by_moved_blocks_and_short_texts(spark):
+    rng = random.Random(18)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    items, docs = [(b, some(n)) for b, n in enumerate([59, 100, 45, 59, 30])], []
+    for b, w in items:
+        half, third = len(w) // 2 + 1, len(w) // 3
+        moved = [w[half:] + w[:half], w[third : 2 * third] + w[:third] + w[2 * third :], w[:5] + w[third:] + w[5:third]]
+        docs += [some(17) + m + some(40) for m in moved] + moved
+        docs += [w[1:], w[:-2], w[2:-1], w[: len(w) * 5 // 6], w[: len(w) * 2 // 3], w[half:] + w[1:half], some(len(w) - 1), w[3:] + some(3)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(None, " ".join(items[0][1][1:])), (0, " ".join(items[4][1][:-1]))]
+    items = [(b, " ".join(w)) for b, w in items] + [(9, "aa bb cc dd ee ff gg hh aa bb cc dd ee")]
+    docs += [(100, "gg hh aa bb cc dd ee ff gg hh aa bb cc"), (101, "aa bb cc dd ee ff gg hh aa bb cc dd")]
+    want = leaks(docs, items)
+    for b, it in items:  # a text shorter than the item is one window
+        s = Counter(zip(*[it.split()[j:] for j in range(5)], strict=False))
+        for i, t in docs:
+            if len(t.split()) < len(it.split()):
+                x = Counter(zip(*[t.split()[j:] for j in range(5)], strict=False))
+                both = sum((s & x).values())
+                sim = both / (sum(s.values()) + sum(x.values()) - both)
+                if sim >= 0.8:
+                    want[i, b] = max(want.get((i, b), 0), sim)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in op10_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (0, 0) in want and (None, 0) in want and len(want) > 30
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
