@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import op5_rules, op6_language, op7_simhash, op9_bpe, op10_decontaminate
+from lexloom.llm import near_copies, op5_rules, op6_language, op9_bpe, op10_decontaminate
 from lexloom.llm.common import materialize, small_batches, table
 
 #: Identifiers up to this number are broadcast, more are shuffled.
@@ -32,11 +32,11 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; documents without id stay.
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays; documents without id stay.
 
     Rows of one id are one document: one of them stays.
     """
-    found = op7_simhash.near_duplicates(docs).where("doc_id is not null")
+    found = near_copies.near_copies(docs).where("doc_id is not null")
     each = materialize(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "pipeline-groups")
     kept = docs.join(_bounded(each.where("not stays").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     if each.where("n > 1 and stays").take(1):

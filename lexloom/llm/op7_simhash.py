@@ -35,18 +35,24 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CROWDED = 48
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """Signed 64-bit fingerprint of the word shingles of a text, repeats included."""
-    words = byte_words(text)
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """xxh64 of each run of so many words; of all of them if they are fewer."""
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def simhash(text: str | None, shingle: int = 4) -> int:
+    """Signed 64-bit fingerprint of the word shingles of a text, repeats included."""
+    words = byte_words(text)
+    if not words:
+        return 0
+    hashes, counts = shingle_hashes(words, shingle), np.zeros(64, np.int64)
+    n = len(hashes)
     for at in range(0, n, 8192):
         octets = hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
         # Byte-wise sums of at most 255 rows can't overflow into their neighbour's byte.

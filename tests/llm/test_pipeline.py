@@ -1,6 +1,10 @@
 """The pipeline's rows against its operators applied one by one, and its edge cases."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline as pipeline
+from lexloom.llm import near_copies
 from tests.llm.test_operators import made_docs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,3 +36,35 @@ def test_empty(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_at_similarity(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common, texts = [word() for _ in range(60)], []
+    for k in range(12):
+        base = [word() for _ in range(rng.choice([3, 5, 9, 60, 100, 200]))]
+        if k % 3 == 0:
+            base = base + common
+        texts.append(base)
+        for changes in (0, 1, 1, 2, 3, 5, 8):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+        texts += [base[len(base) // 10 :], base + base[: len(base) // 8], base + base]
+    texts += [["again"] * n for n in (50, 55, 80, 200)] + [[], []]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = sum((bags[a] & bags[b]).values())
+            if both >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(w), None, None, 0) for i, w in enumerate(texts)], DOCS)
+    want = {i for i, r in enumerate(root) if i == r}
+    for crowded, common_at in ((near_copies.CROWDED, near_copies.COMMON), (3, 2)):
+        monkeypatch.setattr(near_copies, "CROWDED", crowded)
+        monkeypatch.setattr(near_copies, "COMMON", common_at)
+        assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()} == want
