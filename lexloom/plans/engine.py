@@ -151,14 +151,20 @@ class Engine:
         """At most MOST_ROWS rows of a listing come to the driver."""
         return [r.asDict(recursive=True) for r in TEMPLATES[plan.template](self.graph, **plan.slots).limit(MOST_ROWS).collect()]
 
-    def sql(self, query: str) -> dict:
-        """Read-only SQL over the views nodes and edges; errors are data."""
+    def sql(self, query: str, most: int | None = None) -> dict:
+        """Read-only SQL over the views nodes and edges; errors are data.
+
+        All rows come to the driver in the query's own order, unless the caller
+        sets ``most``; ``truncated`` tells whether there were more than that.
+        """
         if self.spark.range(1).select(T.is_write(F.lit(query))).first()[0]:
-            return {"results": [], "error": "only read queries are allowed"}
+            return {"results": [], "truncated": False, "error": "only read queries are allowed"}
         try:
-            return {"results": [r.asDict(recursive=True) for r in self.spark.sql(query).limit(1000).collect()], "error": None}
+            found = self.spark.sql(query)
+            rows = (found if most is None else found.limit(most + 1)).collect()
+            return {"results": [r.asDict(recursive=True) for r in rows[:most]], "truncated": most is not None and len(rows) > most, "error": None}
         except (ParseException, AnalysisException) as e:
-            return {"results": [], "error": str(e)}
+            return {"results": [], "truncated": False, "error": str(e)}
 
     def fallback(self, question: str) -> list[dict]:
         terms = self.spark.range(1).select(T.search_terms(F.lit(question), fuzzy=False)).first()[0]

@@ -124,6 +124,15 @@ def test_engine_answers(engine):
     assert engine.schema()["labels"][0]["count"] == 1
 
 
+def test_engine_sql_returns_all_rows(engine):
+    query = "select id from range(2500) order by id desc"
+    whole = engine.sql(query)
+    assert [r["id"] for r in whole["results"]] == list(range(2499, -1, -1)) and not whole["truncated"]
+    some = engine.sql(query, most=1000)
+    assert [r["id"] for r in some["results"]] == list(range(2499, 1499, -1)) and some["truncated"]
+    assert not engine.sql(query, most=2500)["truncated"]
+
+
 def test_question_preparation():
     assert prepare("What is CSR?") == "What is Corporate Social Responsibility (Section 135)?"
     assert prepare("penelty for direktor") == "penalty for director"
