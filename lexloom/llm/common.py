@@ -91,18 +91,19 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of an edge: root is the least node reachable.
 
     ``edges`` has columns a and b of one orderable type; direction, loops and
     repeats don't matter. Alternating large-star and small-star rounds: each
     round is two minimum aggregations (combined map-side) and two equi-joins,
     whose one side has a row per node, so a hub's edges can be split by AQE.
-    The table of each round is written to the shared folder.
+    The table of each round is written to the shared folder. Rounds go on until
+    one changes nothing; their number grows with the logarithm of the nodes.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current, seen = materialize(e, name), None
-    for _ in range(rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -8,27 +8,37 @@ page. If any name in a component is explicitly allowed, the component's urls
 without a rule stay allowed; else, if any is blocked, they are blocked; else
 they are allowed. Explicit allows so take precedence over carried blocks.
 
-Urls that differ only behind ``#`` are one name. Relative targets are resolved
-against the page's url.
+Urls that differ only behind ``#`` are one name. Every canonical link and every
+refresh of a page is an edge, whatever the order and quoting of the attributes;
+those in HTML comments, scripts and other raw text are none. Relative targets
+are resolved against the page's url.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule and verdict allow; null or empty html has no edges; repeated rows stay;
-an empty table gives an empty result.
+an empty table gives an empty result. All steps are linear in the url and html.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html as references
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ascii_lower, connected_components, materialize
+from lexloom.llm.common import ascii_lower, connected_components, materialize, small_batches
 
 #: (verdict, rule) as given for the registered query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
-CANONICAL = (r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)[^>]*\brel\s*=\s*["']?canonical\b""")
-REFRESH = (r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*([^"'\s>]+)""",)
+#: Elements whose content is raw text.
+RAW = ("script", "style", "textarea", "template", "title")
+CUT = re.compile("<!--.*?(?:-->|\\Z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|\Z)" for x in RAW), re.S | re.I)
+TAG = re.compile(r"""<(link|meta)(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: Content of a refresh: seconds, then the target, quoted or not.
+REFRESH = re.compile(r"""\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^\s"']+))""", re.I)
 
 
 def _has_host(url: Column) -> Column:
@@ -59,17 +69,65 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return found
 
 
+def links_of(page: str | None) -> Iterator[str]:
+    """Targets of all canonical links and refreshes of a page, as written."""
+    for kind, more in TAG.findall(CUT.sub(" ", page or "")):
+        found: dict[str, str] = {}
+        for name, a, b, c in ATTRIBUTE.findall(more):
+            found.setdefault(name.lower(), references.unescape(a or b or c))
+        to = ""
+        if kind.lower() == "link" and "canonical" in found.get("rel", "").lower().split():
+            to = found.get("href", "")
+        elif kind.lower() == "meta" and found.get("http-equiv", "").strip().lower() == "refresh":
+            m = REFRESH.match(found.get("content", ""))
+            to = next(filter(None, m.groups()), "") if m else ""
+        if to.strip() and not to.strip().startswith("#"):
+            yield to.strip()
+
+
+def without_dots(path: str) -> str:
+    """A path with its ``.`` and ``..`` segments carried out."""
+    if "/." not in path:
+        return path
+    out: list[str] = []
+    parts = path.split("/")
+    for part in parts:
+        if part == ".." and len(out) > 1:
+            out.pop()
+        elif part not in (".", ".."):
+            out.append(part)
+    return "/".join(out) + ("/" if parts[-1] in (".", "..") else "")
+
+
+def resolved(url: str, to: str) -> str:
+    """Absolute form of a target on the page of that url."""
+    scheme, _, rest = url.partition("://")
+    if "://" in to.split("?")[0]:
+        scheme, _, rest = to.partition("://")
+    elif to.startswith("//"):
+        rest = to[2:]
+    else:
+        host, _, path = re.split("[?#]", rest, maxsplit=1)[0].partition("/")
+        folder = "" if to.startswith("/") else f"/{path}" if to.startswith("?") else f"/{path[: path.rfind('/') + 1]}"
+        rest = host + folder + to
+    at = re.search("[?#]", rest)
+    whole, more = (rest[: at.start()], rest[at.start() :]) if at else (rest, "")
+    host, slash, path = whole.partition("/")
+    return f"{scheme}://{host}{without_dots(slash + path)}{more}"
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): names of one page, from its canonical link and its redirect."""
+    """(a, b): names of one page, from its canonical links and its redirects."""
+    small_batches(pages.sparkSession, 300)
+
+    @F.pandas_udf("array<string>")
+    def targets(urls: pd.Series, htmls: pd.Series) -> pd.Series:
+        return pd.Series([[resolved(u, t) for t in links_of(h)] for u, h in zip(urls, htmls, strict=True)])
+
     hint = F.lower("html")
-    found = F.when(hint.contains("canonical"), F.array(*[F.regexp_extract("html", p, 1) for p in CANONICAL])).otherwise(F.array(F.lit("")))
-    found = F.concat(found, F.when(hint.contains("refresh"), F.array(*[F.regexp_extract("html", p, 1) for p in REFRESH])).otherwise(F.array(F.lit(""))))
-    targets = pages.select("url", F.explode(found).alias("to")).where("to <> '' and url is not null")
-    to = F.regexp_replace("to", "(?i)&amp;", "&")
-    scheme, base = F.regexp_extract("url", r"(?s)^(.*?):", 1), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*((?:/[^/?#]*)*)/[^/?#]*", 1)
-    whole = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(base, to)).otherwise(F.concat(base, folder, F.lit("/"), to))
-    return targets.select(name_of(F.col("url")).alias("a"), name_of(whole).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    some = pages.where(_has_host(F.col("url")) & (hint.contains("canonical") | hint.contains("refresh")))
+    found = some.select("url", F.explode(targets(F.col("url"), F.col("html"))).alias("to"))
+    return found.select(name_of(F.col("url")).alias("a"), name_of(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -106,14 +164,31 @@ def _sql_path(url: str) -> str:
     return f"coalesce(case when contains({url}, '://') then regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) end, '')"
 
 
+#: Tags, attributes and targets of pages in DuckDB SQL.
+_SQL_FOUND = r"""tags as (select url, unnest(regexp_extract_all(regexp_replace(html, '@cut', ' ', 'g'), '(?is)<(?:link|meta)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*')) as tag
+  from pages where contains(url, '://') and regexp_matches(html, '(?i)canonical|refresh')),
+pieces as (select url, lower(substr(tag, 2, 4)) as kind, list_transform(regexp_extract_all(substr(tag, 6), '(?s)[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?'),
+    lambda x: {'n': lower(regexp_extract(x, '^[^\s"''<>/=]+')), 'v': regexp_replace(regexp_replace(x, '^[^\s"''<>/=]+\s*=?\s*', ''), '(?s)^["''](.*)["'']$', '\1')}) as attrs from tags),
+named as (select url, kind, list_filter(attrs, lambda x: x.n = 'rel')[1].v as rel, list_filter(attrs, lambda x: x.n = 'href')[1].v as href, list_filter(attrs, lambda x: x.n = 'http-equiv')[1].v as equiv,
+    regexp_extract(list_filter(attrs, lambda x: x.n = 'content')[1].v, '(?is)^\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?(.*)$', 1) as target from pieces),
+found as (select url, trim(regexp_replace(case when kind = 'link' and list_contains(string_split_regex(lower(rel), '\s+'), 'canonical') then href
+    when kind = 'meta' and lower(trim(equiv)) = 'refresh' then case when target[1] in ('"', '''') then split_part(substr(target, 2), target[1], 1) else regexp_extract(target, '^[^\s"'']+') end end, '(?i)&amp;', '&', 'g')) as t from named)"""
+#: The target's absolute form.
+_SQL_WHOLE = r"""case when contains(split_part(t, '?', 1), '://') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?):', 1) || ':' || t
+  when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t when starts_with(t, '?') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' || regexp_extract(url, '(?s)^.*?://[^/?#]*/([^?#]*)', 1) || t
+  else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' || regexp_extract(url, '(?s)^.*?://[^/?#]*/([^?#]*/)[^/?#]*', 1) || t end"""
+
+
 def oracle() -> str:
-    """The same verdicts in DuckDB SQL, reachability as a recursive query over canonical and redirect edges."""
+    """The same verdicts in DuckDB SQL, reachability as a recursive query over canonical and redirect edges.
+
+    Of character references it knows ``&amp;`` alone, and it leaves dot segments as they are.
+    """
     name = "case when contains({u}, '://') then translate(regexp_extract({u}, '(?s)^(.*?://)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || " + _sql_host("{u}") + " || case regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) when '' then '/' else regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) end end"
-    pats = ", ".join("regexp_extract(html, '" + p.replace("'", "''") + "', 1)" for p in (*CANONICAL, *REFRESH))
-    whole = "case when contains(t, '://') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?):', 1) || ':' || t when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || regexp_extract(url, '(?s)^.*?://[^/?#]*((?:/[^/?#]*)*)/[^/?#]*', 1) || '/' || t end"
+    cut = "(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|$)" for x in RAW)
     return f"""
-with recursive found as (select url, regexp_replace(unnest([{pats}]), '(?i)&amp;', '&', 'g') as t from pages where url is not null and html is not null),
-edge as (select distinct {name.format(u="url")} as a, {name.format(u=f"({whole})")} as b from found where t <> ''),
+with recursive {_SQL_FOUND.replace("@cut", cut)},
+edge as (select distinct {name.format(u="url")} as a, {name.format(u=f"({_SQL_WHOLE})")} as b from found where t <> '' and not starts_with(t, '#')),
 both_ways as (select a, b from edge where a <> b union select b, a from edge where a <> b),
 reach as (select a as node, b as other from both_ways union select r.node, e.b from reach r join both_ways e on r.other = e.a),
 ruled as (select node, {_sql_rule(_sql_host("other"), _sql_path("other"), "verdict")} as v from (select node, other from reach union select node, node from reach)),
