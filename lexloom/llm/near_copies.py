@@ -1,110 +1,168 @@
-"""Near copies by exact shingle similarity: the pipeline's stage.
+"""Operator 7 at five words and a similarity of 0.8: the pipeline's stage.
 
 Two documents are near copies if their bags of five-word shingles (a shorter
 text is one shingle, A-Z lower-cased) have a weighted Jaccard similarity of at
 least 0.8. The n-th repeat of a shingle is an element of its own, so bags are
-sets. Copies of one bag are one row of what follows.
-
-Candidates lose no pair (prefix filter): of n elements a near copy shares 4n/5
-at least, so under one order of all elements the first n/5 + 1 of both meet.
-The order is that of the hashes, but the HOTTEST elements come last; which ones
-these are changes the work, not the result. Pairs that share a prefix element and
-differ in size by no more than 0.8 are verified on the whole bags. Crowded
-elements are contracted by stars first, as in operator 7.
+sets. Copies of one bag are one print.
+
+1. SimHash: prints whose fingerprints link (operator 7's deletion-variant index)
+   are verified on the whole bags, and contracted into components. That joins
+   nearly all copies, clouds of thousands included.
+2. The rest: 0.8 also allows fingerprints further apart than the index reaches,
+   so pairs of different components are completed by a prefix filter that loses
+   none. Of n elements a near copy shares 4n/5 at least, so under one order of
+   all elements the first n/5 + 1 of both meet. At the first element that two
+   share, the places left on both sides bound what they can share; pairs below
+   0.8 there, or by their sizes, go. The others are verified on the whole bags.
+
+The order is that of the hashes, but the HOTTEST elements come last; which these
+are changes the work, not the result. In buckets of more than CROWDED prints only
+members outside the largest component are compared with the others.
+
+Defined cases: null and wordless texts are copies of each other; rows with equal
+or null ids are documents of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import op7_simhash
 from lexloom.llm.common import byte_words, connected_components, materialize, release, small_batches
-from lexloom.llm.op7_simhash import shingle_hashes
+from lexloom.llm.op7_simhash import shingle_hashes, simhash
 
 SHINGLE = 5
-#: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are contracted.
+#: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are compared by component.
 COMMON, HOTTEST, CROWDED = 16, 100_000, 48
+#: Prints that a task remembers, so as to write a copied bag once.
+REMEMBERED = 200_000
 
 
-def bag(text: str | None) -> np.ndarray:
-    """Sorted distinct elements of a text, as signed 64-bit numbers."""
-    words = byte_words(text)
-    hashes = np.sort(shingle_hashes(words, SHINGLE)) if words else np.zeros(1, np.uint64)
+def bag(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct elements of a bag of hashes, as signed 64-bit numbers."""
+    hashes = np.sort(hashes)
     repeat = (np.arange(len(hashes)) - np.searchsorted(hashes, hashes)).astype(np.uint64)
     return np.sort((hashes ^ (repeat * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
 
 
-def bags(text: Column) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([bag(t) for t in texts])
+def prints_of(keyed: DataFrame) -> DataFrame:
+    """(row, text) -> row, fp (of the bag), n, sim, and bag: once for each fp and task, else null."""
 
-    return of_texts(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fps, sizes, sims, bags = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                words = byte_words(text)
+                hashes = shingle_hashes(words, SHINGLE) if words else np.zeros(1, np.uint64)
+                made = bag(hashes)
+                fp = xxhash.xxh64_intdigest(made.tobytes()) - (1 << 63)
+                fps.append(fp)
+                sizes.append(len(made))
+                sims.append(simhash(hashes))
+                bags.append(None if fp in seen else made)
+                if len(seen) < REMEMBERED:
+                    seen.add(fp)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bags, pa.list_(pa.int64()))], ["row", "fp", "n", "sim", "bag"])
 
+    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long, bag array<bigint>")
 
-def prefixes(text: Column, last: np.ndarray) -> Column:
+
+def prefix(bags: Column, last: np.ndarray) -> Column:
     """The first n/5 + 1 elements; those of ``last`` (sorted) come after all others."""
 
-    def first(t: str | None) -> np.ndarray:
-        made = bag(t)
+    def first(made: np.ndarray) -> np.ndarray:
         if len(last):
             made = made[np.argsort(last[np.minimum(np.searchsorted(last, made), len(last) - 1)] == made, kind="stable")]
         return made[: len(made) // 5 + 1]
 
     @F.pandas_udf("array<bigint>")
-    def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([first(t) for t in texts])
+    def of_bags(found: pd.Series) -> pd.Series:
+        return pd.Series([first(np.asarray(x, np.int64)) for x in found])
 
-    return of_texts(text)
+    return of_bags(bags)
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) of fingerprints whose components are those of all near copies."""
-    none = np.zeros(0, np.int64)
-    counts = docs.select(F.explode(prefixes(F.col("text"), none)).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
-    last = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()], np.int64))
-    firsts = materialize(prints.groupBy("fp", "n").agg(F.min("row").alias("row")), "copies-firsts")
-    ordered = docs.select("row", prefixes(F.col("text"), last).alias("prefix"))
-    index = firsts.join(ordered, "row").select("fp", "n", F.explode("prefix").alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("fp", "n")).alias("pivot")).where("c > 1")
-    shared = materialize(index.join(sizes, "key"), "copies-shared")
-    some = materialize(shared.select("fp").distinct().join(firsts, "fp").select("fp", "row"), "copies-some")
-    held = materialize(docs.join(some, "row").select("fp", bags(F.col("text")).alias("bag")), "copies-bags")
+def links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) of fps whose components are those of all near copies; prints as of ``prints_of``."""
+    held = prints.where("bag is not null")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(held.select(F.col("fp").alias("a"), F.col("bag").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("bag").alias("y")), "b")
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs that reach 0.8 on the whole bags."""
+        pairs = materialize(pairs.distinct(), f"{name}-pairs")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        bags = materialize(held.select("fp", "bag").join(some, "fp").dropDuplicates(["fp"]), f"{name}-bags")
+        both = pairs.join(bags.select(F.col("fp").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("fp").alias("b"), F.col("bag").alias("y")), "b")
         met = F.size(F.array_intersect("x", "y"))
-        return both.where(met * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
-
-    pair = [F.col("l.fp").alias("a"), F.col("r.fp").alias("b")]
-    sized = F.expr("l.n * 5 >= r.n * 4 and r.n * 5 >= l.n * 4")
-    sparse, dense = shared.where(F.col("c") <= CROWDED).select("key", "fp", "n"), shared.where(F.col("c") > CROWDED)
-    edges = sparse.alias("l").join(sparse.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.fp < r.fp") & sized).select(*pair)
-    stars = dense.where("fp <> pivot.fp and n * 5 >= pivot.n * 4 and pivot.n * 5 >= n * 4").select(F.col("pivot.fp").alias("a"), F.col("fp").alias("b"))
-    edges = materialize(similar(edges.unionByName(stars)), "copies-edges")
-    if not dense.take(1):
-        return edges
-    roots = materialize(connected_components(edges, "copies-contracted"), "copies-roots")
-    placed = materialize(dense.join(roots, dense.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "copies-placed")
-    largest = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-    outside = placed.join(largest, "key").where("root <> largest").select("key", "fp", "n", "root")
-    more = outside.alias("l").join(placed.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.root <> r.root") & sized).select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b"))
-    every = materialize(edges.unionByName(similar(more)), "copies-links")
-    for used in (shared, some, held, edges, roots, placed):
+        out = materialize(both.where(met * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), name)
+        release(pairs)
+        release(bags)
+        return out
+
+    # 1. SimHash: one print stands for each fingerprint, its others hang on it
+    each = materialize(held.groupBy("fp").agg(F.min("sim").alias("sim")), "copies-each")
+    heads = materialize(each.groupBy("sim").agg(F.min("fp").alias("head")), "copies-heads")
+    near = op7_simhash.links(heads.select(F.col("sim").alias("fp")))
+    linked = near.join(heads.select(F.col("sim").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("sim").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    hung = each.join(heads, "sim").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    close = similar(linked.unionByName(hung), "copies-close")
+    roots = materialize(connected_components(close, "copies-contracted"), "copies-roots")
+
+    # 2. what lies further apart
+    counts = held.select(F.explode(F.expr("slice(bag, 1, n div 5 + 1)")).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
+    last = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()], np.int64))
+    index = held.select("fp", "n", F.posexplode(prefix(F.col("bag"), last)).alias("at", "key")).distinct()
+    index = materialize(index.join(roots, index.fp == roots.node, "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("root")), "copies-index")
+    sizes = index.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "c")
+    shared = materialize(index.join(sizes, "key"), "copies-shared")
+    wide = F.expr("l.root <> r.root and (l.n < r.n or l.n = r.n and l.fp < r.fp) and l.n * 5 >= r.n * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4")
+    either = F.expr("l.root <> r.root and least(l.n, r.n) * 5 >= greatest(l.n, r.n) * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4")
+    same, pair = F.expr("l.key = r.key"), [F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")]
+    sparse, dense = shared.where(F.col("c") <= CROWDED), shared.where(F.col("c") > CROWDED)
+    pairs = sparse.alias("l").join(sparse.alias("r"), same & wide).select(*pair)
+    largest = dense.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+    outside = dense.join(largest, "key").where("root <> largest")
+    pairs = pairs.unionByName(outside.alias("l").join(dense.alias("r"), same & either).select(*pair))
+    far = similar(pairs, "copies-far")
+    every = materialize(close.unionByName(far), "copies-links")
+    for used in (each, heads, near, close, roots, index, shared, far):
         release(used)
     return every
 
 
+def rooted(keyed: DataFrame) -> DataFrame:
+    """(row, doc_id, text) -> row, doc_id, root: rows of one group share their root."""
+    small_batches(keyed.sparkSession)
+    prints = materialize(prints_of(keyed), "copies-prints")
+    roots = materialize(connected_components(links(prints), "copies-components"), "copies-groups")
+    flat = prints.select("row", "fp").join(roots, F.col("fp") == roots.node, "left").select("row", F.coalesce("root", "fp").alias("root"))
+    out = materialize(flat.join(keyed.select("row", "doc_id"), "row"), "copies-rooted")
+    for used in (prints, roots):
+        release(used)
+    return out
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, component_id, one row per input row."""
-    small_batches(docs.sparkSession)
+    """docs (doc_id, text) -> doc_id, component_id (the least id), one row per input row."""
     keyed = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "copies-rows")
-    prints = materialize(keyed.select("doc_id", "row", bags(F.col("text")).alias("bag")).select("doc_id", "row", F.xxhash64("bag").alias("fp"), F.size("bag").alias("n")), "copies-prints")
-    roots = connected_components(links(keyed, prints), "copies-components")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = materialize(least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "copies-groups")
-    ids = materialize(groups.groupBy("root").agg(F.min("least").alias("component_id")), "copies-ids")
-    by_print = materialize(groups.join(ids, "root").select("fp", "component_id"), "copies-by-print")
-    return prints.join(by_print, "fp").select("doc_id", "component_id")
+    found = rooted(keyed)
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) without near copies: of each group the row of least id stays (no id is last).
+
+    Rows are told apart by a key of their own, written once, so repeated and null ids do no harm.
+    """
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "copies-rows")
+    found = rooted(keyed.select("row", "doc.doc_id", "doc.text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stays = found.groupBy("root").agg(first.alias("first")).select("first.row")
+    return keyed.join(stays, "row", "left_semi").select("doc.*")

@@ -17,8 +17,12 @@ are lower-cased; shingles have five words (an item of fewer words is one shingle
    the 64 bits are indexed, and any two fingerprints within RADIUS share a block.
 3. Pairs within RADIUS are verified by the exact similarity.
 
+All of this is keyed by the text's digest, so copies of one text are one, and
+ids, null or repeated, play no part in it; at the end rows find their text's items.
+
 The benchmark's shingles and blocks are broadcast only if they are proven to be
-at most BROADCAST; else the same joins shuffle.
+at most BROADCAST. A larger benchmark's joins shuffle, but only the shingles that
+pass a bitmap of its hashes (2^PARTS words of 64 bits, so its size is bounded).
 
 Defined cases: null and empty texts and items never match; null item or
 document ids are reported like others; repeated rows and items count once for
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import let, materialize, words_of
 
 WORDS, SIMILAR, RADIUS = 5, 0.8, 20
-BROADCAST = 1_000_000
+BROADCAST, PARTS = 1_000_000, 19
 #: Start that stands for a whole text with fewer shingles than the item.
 WHOLE = -1
 
@@ -86,38 +90,67 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return split.select("item_id", "n", "k", by_size.alias("hashes")).distinct().select("*", F.size("hashes").alias("s"), fingerprint(F.col("hashes")).alias("item_fp"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, similarity, hamming, start; one row a pair."""
+def _passing(hashes: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of ``hashes`` whose hash may be in ``index``: its bit in the bitmap of the index is set."""
+    part, bit = F.expr(f"shiftrightunsigned(hash, {64 - PARTS})"), F.call_function("shiftleft", F.lit(1).cast("long"), F.expr(f"cast(shiftrightunsigned(hash, {58 - PARTS}) & 63 as int)"))
+    bitmap = index.select(part.alias("part"), bit.alias("bit")).groupBy("part").agg(F.bit_or("bit").alias("bits"))
+    return hashes.withColumn("part", part).join(F.broadcast(bitmap), "part").where(F.col("bits").bitwiseAND(bit) != 0).drop("part", "bits")
+
+
+def _digest() -> Column:
+    return F.md5("text").alias("t")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (text), benchmark (item_id, text) -> t (digest of the text), item_id, similarity, hamming, start; one row a pair."""
     items = materialize(items_of(benchmark), "bench-items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WORDS values
     held = items.agg(F.coalesce(F.sum(F.col("s") + RADIUS + 1), F.lit(0))).first()[0]
-    small = F.broadcast if held <= BROADCAST else (lambda df: df)
+    few = held <= BROADCAST
+    small = F.broadcast if few else (lambda df: df)
     index = items.select("item_id", "n", "k", "s", F.explode(F.array_distinct("hashes")).alias("hash"))
-    words = docs.select("doc_id", lowered(F.col("text")).alias("w"))
+    words = docs.where("text is not null").select(_digest(), lowered(F.col("text")).alias("w"))
     hits = None
     for k in sizes:
-        made = words.select("doc_id", F.posexplode(shingle_hashes(F.col("w"), k)).alias("p", "hash"))
-        found = made.join(small(index.where(F.col("k") == k).drop("k")), "hash").select("doc_id", "item_id", "n", F.lit(k).alias("k"), "s", "p")
+        made, of_size = words.select("t", F.posexplode(shingle_hashes(F.col("w"), k)).alias("p", "hash")), index.where(F.col("k") == k).drop("k")
+        found = (made if few else _passing(made, of_size)).join(small(of_size), "hash").select("t", "item_id", "n", F.lit(k).alias("k"), "s", "p")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, hamming int, start int")
-    places = hits.groupBy("doc_id", "item_id", "n", "k", "s").agg(F.array_sort(F.collect_set("p")).alias("places")).where(F.size("places") * 5 >= F.col("s") * 4)
-    starts = materialize(places.select("doc_id", "n", "k", "s", F.explode(starts_of(F.col("places"), F.col("s"))).alias("start")).groupBy("doc_id", "n", "k", "s").agg(F.array_sort(F.collect_set("start")).alias("starts")), "bench-starts")
-    ids = starts.select("doc_id").distinct()
-    if ids.limit(BROADCAST + 1).count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    some = docs.select("doc_id", "text").alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi").distinct()
-    wanted = some.alias("d").join(starts.alias("c"), F.expr("d.doc_id <=> c.doc_id")).select("d.doc_id", "c.n", "c.k", "c.s", "c.starts", lowered(F.col("d.text")).alias("w"))
-    hashed = wanted.select("doc_id", "n", "k", "s", "starts", F.coalesce(*[F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in sizes]).alias("all"))
+        return docs.sparkSession.createDataFrame([], f"t string, item_id {dict(benchmark.dtypes)['item_id']}, similarity double, hamming int, start int")
+    places = hits.groupBy("t", "item_id", "n", "k", "s").agg(F.array_sort(F.collect_set("p")).alias("places")).where(F.size("places") * 5 >= F.col("s") * 4)
+    starts = materialize(places.select("t", "n", "k", "s", F.explode(starts_of(F.col("places"), F.col("s"))).alias("start")).groupBy("t", "n", "k", "s").agg(F.array_sort(F.collect_set("start")).alias("starts")), "bench-starts")
+    some = docs.select(_digest(), "text").join(_bounded(starts.select("t").distinct()), "t", "left_semi").dropDuplicates(["t"])
+    wanted = some.join(starts, "t").select("t", "n", "k", "s", "starts", lowered(F.col("text")).alias("w"))
+    hashed = wanted.select("t", "n", "k", "s", "starts", F.coalesce(*[F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in sizes]).alias("all"))
     fits = lambda x: F.when(x == WHOLE, F.size("all").between(F.ceil(F.col("s") * 4 / 5), F.col("s") - 1)).otherwise(x + F.col("s") <= F.size("all"))
-    windows = hashed.select("doc_id", "n", "k", "s", F.explode(F.transform(F.filter("starts", fits), lambda x: F.struct(F.greatest(x, F.lit(0)).alias("start"), F.slice("all", F.greatest(x, F.lit(0)) + 1, F.col("s")).alias("hashes")))).alias("x")).select("doc_id", "n", "k", "s", "x.*")
+    windows = hashed.select("t", "n", "k", "s", F.explode(F.transform(F.filter("starts", fits), lambda x: F.struct(F.greatest(x, F.lit(0)).alias("start"), F.slice("all", F.greatest(x, F.lit(0)) + 1, F.col("s")).alias("hashes")))).alias("x")).select("t", "n", "k", "s", "x.*")
     printed = materialize(windows.withColumn("fp", fingerprint(F.col("hashes"))), "bench-windows")
     blocked = items.select("item_id", "n", "hashes", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block")).withColumnRenamed("hashes", "item_hashes")
     near = F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}")
     # a pair of fingerprints meets in each block that they share; the first one reports it
     first = F.array_position(F.zip_with(blocks(F.col("fp")), blocks(F.col("item_fp")), lambda x, y: x == y), F.lit(True)) - 1 == F.shiftright("block", 8)
     met = printed.withColumn("block", F.explode(blocks(F.col("fp")))).join(small(blocked), ["n", "block"]).where(near & first)
-    exact = met.select("doc_id", "item_id", "start", similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity"), F.expr("cast(bit_count(fp ^ item_fp) as int)").alias("hamming")).where(F.col("similarity") >= SIMILAR)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "hamming", "start"), F.struct("similarity", -F.col("hamming"), -F.col("start"))).alias("best"))
-    return best.select("doc_id", "item_id", "best.*")
+    exact = met.select("t", "item_id", "start", similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity"), F.expr("cast(bit_count(fp ^ item_fp) as int)").alias("hamming")).where(F.col("similarity") >= SIMILAR)
+    return exact.groupBy("t", "item_id").agg(_best()).select("t", "item_id", "best.*")
+
+
+def _best() -> Column:
+    return F.max_by(F.struct("similarity", "hamming", "start"), F.struct("similarity", -F.col("hamming"), -F.col("start"))).alias("best")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """Ready for a join: broadcast if its rows are few, else left to a shuffle."""
+    df = materialize(df, "bench-bounded")
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, similarity, hamming, start; one row a pair."""
+    found = docs.select("doc_id", _digest()).join(_bounded(leaks(docs, benchmark)), "t")
+    return found.groupBy("doc_id", "item_id").agg(_best()).select("doc_id", "item_id", "best.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (text, ...) without the rows whose text holds an item of the benchmark (item_id, text)."""
+    found = _bounded(leaks(docs, benchmark).select("t").distinct())
+    return docs.select(F.struct(*docs.columns).alias("doc"), _digest()).join(found, "t", "left_anti").select("doc.*")

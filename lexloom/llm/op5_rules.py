@@ -29,8 +29,6 @@ SAMPLE = 20_000
 BINS, MOST_RULES, MOST_CONDITIONS = 24, 8, 3
 #: Least precision and coverage of a rule on the pruning part.
 PRECISION, COVERED = 0.9, 5
-#: Low bits of a packed window that hold its place; longer texts take a wider form.
-PLACE = 24
 
 
 class Condition(NamedTuple):
@@ -52,25 +50,14 @@ def _covered(places: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words that lie in a three-word window found twice or more, first ones included."""
-    mask = (1 << PLACE) - 1
+    """Words that lie in a three-word window found twice or more, first ones included.
 
-    def packed(h: Column) -> Column:
-        """Sorted longs of hash bits and place; neighbours are compared on all 64 hash bits."""
-        at = lambda x: F.get(h, x.bitwiseAND(mask).cast("int"))
-        same = lambda x, y: F.coalesce((F.shiftright(x, PLACE) == F.shiftright(y, PLACE)) & (at(x) == at(y)), F.lit(False))
-        keys = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE).bitwiseOR(i.cast("long"))))
-        found = let(keys, lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))))
-        return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask)))
-
-    def wide(h: Column) -> Column:
-        keys = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
-        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-        found = let(keys, lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))))
-        return F.sort_array(F.transform(found, lambda x: x["i"]))
-
-    windows = let(words, lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    return let(windows, lambda h: _covered(F.when(F.size(h) <= mask, packed(h)).otherwise(wide(h))))
+    Windows are sorted by their hash, then place, so equal ones are neighbours.
+    """
+    windows = let(words, lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>")))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    found = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))))
+    return _covered(F.sort_array(F.transform(found, lambda x: x["i"])))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -87,30 +74,34 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("words", "word_length", "symbols", "bars", "dup_lines", "repeats", "upper", "shouts", "distinct")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """All columns of docs and _s: a struct of the base statistics and the learned ones' ratios."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc, a struct of the carried columns, and s, a struct of the base statistics and the learned ones' ratios.
+
+    The input's columns stay inside ``doc``, so their names can't clash with those made here.
+    """
+    rows = docs.select(F.struct(*carried).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
     counted = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct")))
-    raw = docs.withColumn("_w", counted).withColumn("_c", F.struct(_left(text, SPACE).alias("word_chars"), _left(text, "[^#*$%&|<>]+").alias("n_symbols"), _left(text, "[^|]+").alias("n_bars"), duplicate_lines(text).alias("n_dup_lines"), _left(text, "[^A-Z]+").alias("n_upper"), _left(text, "[^!]+").alias("n_shouts"), (_left(text, "[^\\n]+") + 1).alias("n_lines")))
-    n = F.greatest(F.col("_w.n_words"), F.lit(1)).cast("double")
+    raw = rows.select("doc", counted.alias("w"), F.struct(_left(text, SPACE).alias("word_chars"), _left(text, "[^#*$%&|<>]+").alias("n_symbols"), _left(text, "[^|]+").alias("n_bars"), duplicate_lines(text).alias("n_dup_lines"), _left(text, "[^A-Z]+").alias("n_upper"), _left(text, "[^!]+").alias("n_shouts"), (_left(text, "[^\\n]+") + 1).alias("n_lines")).alias("c"))
+    n = F.greatest(F.col("w.n_words"), F.lit(1)).cast("double")
     per = lambda x, y=n: (F.col(x) / y)
-    made = {"words": F.col("_w.n_words").cast("double"), "word_length": per("_c.word_chars"), "symbols": per("_c.n_symbols"), "bars": per("_c.n_bars"), "dup_lines": per("_c.n_dup_lines", F.col("_c.n_lines").cast("double")), "repeats": per("_w.n_repeat_words"), "upper": per("_c.n_upper", F.greatest(F.col("_c.word_chars"), F.lit(1)).cast("double")), "shouts": per("_c.n_shouts"), "distinct": per("_w.n_distinct")}
-    base = {"n_words": "_w.n_words", "word_chars": "_c.word_chars", "n_symbols": "_c.n_symbols", "n_dup_lines": "_c.n_dup_lines", "n_repeat_words": "_w.n_repeat_words"}
-    return raw.withColumn("_s", F.struct(*[F.col(v).alias(k) for k, v in base.items()], *[v.alias(k) for k, v in made.items()])).drop("_w", "_c")
+    made = {"words": F.col("w.n_words").cast("double"), "word_length": per("c.word_chars"), "symbols": per("c.n_symbols"), "bars": per("c.n_bars"), "dup_lines": per("c.n_dup_lines", F.col("c.n_lines").cast("double")), "repeats": per("w.n_repeat_words"), "upper": per("c.n_upper", F.greatest(F.col("c.word_chars"), F.lit(1)).cast("double")), "shouts": per("c.n_shouts"), "distinct": per("w.n_distinct")}
+    base = {"n_words": "w.n_words", "word_chars": "c.word_chars", "n_symbols": "c.n_symbols", "n_dup_lines": "c.n_dup_lines", "n_repeat_words": "w.n_repeat_words"}
+    return raw.select("doc", F.struct(*[F.col(v).alias(k) for k, v in base.items()], *[v.alias(k) for k, v in made.items()]).alias("s"))
 
 
 def base_failed(s: str = "") -> Column:
     return F.expr(f"{s}n_words < 50 or 100 * {s}n_repeat_words > 50 * {s}n_words")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled_sample(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics, bad (quality 0) and prune (a third) of at most about SAMPLE labelled documents."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     share = min(1.0, SAMPLE / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE
-    rows = statistics(some).select("quality", F.col("_s.*"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"))
+    some = measured.select("doc.doc_id", "s").join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE
+    rows = some.select("quality", "s.*", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"))
     return rows.where(~base_failed()).select((F.col("quality") == 0).alias("bad"), "prune", *RATIOS)
 
 
@@ -200,13 +191,22 @@ def decision(rules: list[Rule], at: str = "") -> Column:
     return out if out is not None else F.lit(None).cast("int")
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of docs, and _s (statistics), _rule (of the list, or null) and _kept."""
-    rules = learn(labelled_sample(docs, labels))
-    found = statistics(docs).withColumn("_rule", decision(rules, "_s."))
-    return found.withColumn("_kept", ~base_failed("_s.") & F.col("_rule").isNull())
+def judged(docs: DataFrame, labels: DataFrame, *carried: str) -> DataFrame:
+    """doc (struct of the carried columns, doc_id among them), s (statistics), rule (of the list, or null) and kept.
+
+    The statistics are computed once, in a table of their own; rules are learned from it and judge it.
+    """
+    measured = materialize(statistics(docs, *carried), "rules-measured")
+    rules = learn(labelled_sample(measured, labels))
+    found = measured.withColumn("rule", decision(rules, "s."))
+    return found.withColumn("kept", ~base_failed("s.") & F.col("rule").isNull())
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) without those that the base rules or the list reject."""
+    return judged(docs, labels, *docs.columns).where("kept").select("doc.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, quality) -> the base statistics, base_failed, kept, rule."""
-    return judged(docs.select("doc_id", "text"), labels).select("doc_id", *[F.col(f"_s.{c}").alias(c) for c in BASE], base_failed("_s.").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+    return judged(docs, labels, "doc_id").select("doc.doc_id", *[f"s.{c}" for c in BASE], base_failed("s.").alias("base_failed"), "kept", "rule")

@@ -11,7 +11,10 @@ Buckets that hold a cloud of near copies would make that join quadratic. They
 are contracted first: members within four bits of their bucket's least
 fingerprint, and members one bit apart, are linked at once. After that only
 members outside their bucket's largest component are compared with the others,
-so no link between different components is lost and no pair list is emitted.
+and only with those that agree on one of five pieces of the bits outside the
+segment: at most four bits differ, so some piece agrees. A crowd of unrelated
+fingerprints so shrinks by 2^8 at five rows a member. No link between different
+components is lost and no pair list is emitted.
 
 Defined cases: null and blank texts have fingerprint zero and link like others;
 repeated rows stay (one output row per input row); a component whose ids are
@@ -33,6 +36,8 @@ RADIUS, SEED = 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket with more distinct fingerprints than this is contracted first.
 CROWDED = 48
+#: Index rows that one task makes.
+ROWS_A_TASK = 1_000_000
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -46,13 +51,9 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """Signed 64-bit fingerprint of the word shingles of a text, repeats included."""
-    words = byte_words(text)
-    if not words:
-        return 0
-    hashes, counts = shingle_hashes(words, shingle), np.zeros(64, np.int64)
-    n = len(hashes)
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of a bag of hashes; zero for none."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         octets = hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
         # Byte-wise sums of at most 255 rows can't overflow into their neighbour's byte.
@@ -64,7 +65,8 @@ def simhash(text: str | None, shingle: int = 4) -> int:
 def fingerprint(text: Column, shingle: int = 4) -> Column:
     @F.pandas_udf("long")
     def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+        split = map(byte_words, texts)
+        return pd.Series([simhash(shingle_hashes(w, shingle)) if w else 0 for w in split], dtype="int64")
 
     return of_texts(text)
 
@@ -89,12 +91,21 @@ def _first_shared(a: str, b: str) -> Column:
     return F.expr(case + "end")
 
 
+def _pieces() -> Column:
+    """RADIUS + 1 numbered pieces of the bits outside the segment that ``key`` stands for."""
+    rest = "case shiftright(key, 37) when 0 then shiftrightunsigned(fp, 22) when 1 then (fp & 4194303L) | shiftleft(shiftrightunsigned(fp, 43), 22) else fp & 8796093022207L end"
+    return F.array(*[F.expr(f"cast(shiftrightunsigned({rest}, {9 * k}) & 511L as int) | {k << 9}") for k in range(RADIUS + 1)])
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs within RADIUS bits.
 
     ``prints`` has one column fp of distinct fingerprints.
     """
-    index = materialize(prints.select("fp", F.explode(_variants()).alias("key")), "simhash-index")
+    spark, prints = prints.sparkSession, materialize(prints, "simhash-distinct")
+    # 64 rows come of each: spread them first, as few small files would be few tasks
+    parts = max(spark.sparkContext.defaultParallelism, -(-prints.count() * 64 // ROWS_A_TASK))
+    index = materialize(prints.repartition(parts, "fp").select("fp", F.explode(_variants()).alias("key")), "simhash-index")
     sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
     crowded = materialize(sizes.where(F.col("n") > CROWDED), "simhash-crowded")
     near = F.expr(f"bit_count(l.fp ^ r.fp) <= {RADIUS}")
@@ -113,9 +124,10 @@ def links(prints: DataFrame) -> DataFrame:
     placed = materialize(dense.join(roots, dense.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     outside = placed.join(largest, "key").where("root <> largest").select("key", "fp", "root")
-    more = outside.alias("l").join(placed.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.root <> r.root") & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
+    outside, inside = (df.select("key", "fp", "root", F.explode(_pieces()).alias("piece")) for df in (outside, placed))
+    more = outside.alias("l").join(inside.alias("r"), F.expr("l.key = r.key and l.piece = r.piece and l.root <> r.root") & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
     every = materialize(edges.unionByName(more), "simhash-links")
-    for used in (index, crowded, dense, edges, roots, placed):
+    for used in (prints, index, crowded, dense, edges, roots, placed):
         release(used)
     return every
 

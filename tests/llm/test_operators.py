@@ -260,16 +260,6 @@ def test_base_statistics(spark, docs, empty):
     assert op5_rules.quality_rules(empty, labels).count() == 0
 
 
-def test_wide_form_agrees(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    texts = ["a b c a b c a b c d", "x y z", "one", "a a a a"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    one = [r[0] for r in df.select(op5_rules.repeat_words(F.split("t", " "))).collect()]
-    monkeypatch.setattr(op5_rules, "PLACE", 1)  # every text is too long for the packed form
-    assert one == [r[0] for r in df.select(op5_rules.repeat_words(F.split("t", " "))).collect()] == [9, 0, 0, 4]
-
-
 def test_rules_are_learned(spark):
     rng = random.Random(4)
     rows = []
@@ -478,13 +468,16 @@ def test_contamination(spark):
     assert op10_decontaminate.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_contamination_by_moved_blocks_and_short_texts(spark):
+@pytest.mark.parametrize("broadcast", [op10_decontaminate.BROADCAST, 0])
+def test_contamination_by_moved_blocks_and_short_texts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(op10_decontaminate, "BROADCAST", broadcast)
     rng = random.Random(18)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
     items, docs = [(b, some(n)) for b, n in enumerate([59, 100, 45, 59, 30])], []
     for b, w in items:
         half, third = len(w) // 2 + 1, len(w) // 3
         moved = [w[half:] + w[:half], w[third : 2 * third] + w[:third] + w[2 * third :], w[:5] + w[third:] + w[5:third]]
+        moved += [w[third:] + w[:third], [x for a, b in zip(range(0, len(w), 2 * third), range(third, len(w) + third, 2 * third), strict=False) for x in w[b : b + third] + w[a:b]]]  # rotated, and blocks taken by turns
         docs += [some(17) + m + some(40) for m in moved] + moved
         docs += [w[1:], w[:-2], w[2:-1], w[: len(w) * 5 // 6], w[: len(w) * 2 // 3], w[half:] + w[1:half], some(len(w) - 1), w[3:] + some(3)]
     docs = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(None, " ".join(items[0][1][1:])), (0, " ".join(items[4][1][:-1]))]
