@@ -1,4 +1,10 @@
-"""Documents through five stages: each filters or encodes all that the one before kept."""
+"""Documents through five stages: each filters or encodes all that the one before kept.
+
+Stages decide by a row's own columns or by its text, never by its id: rows with
+null or repeated ids are documents of their own. Null and empty texts fail the
+base rules, so they leave at the first stage; given to a later one, they have no
+language, are copies of each other, hold no benchmark item and have no tokens.
+"""
 
 from __future__ import annotations
 
@@ -6,48 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import near_copies, op5_rules, op6_language, op9_bpe, op10_decontaminate
-from lexloom.llm.common import materialize, small_batches, table
-
-#: Identifiers up to this number are broadcast, more are shuffled.
-BROADCAST = 1_000_000
+from lexloom.llm.common import materialize, release, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the learned decision list go."""
-    return op5_rules.judged(docs, table(spark, sf_dir, "labels")).where("_kept").select(docs.columns)
+    return op5_rules.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with an ambiguous one, go."""
     small_batches(spark)
     model = op6_language.fit(docs.where("lang is not null and doc_id is not null"))
-    found = op6_language.predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
-    return found.where("lang_pred <> 'und' and not ambiguous").select("_row.*")
-
-
-def _bounded(ids: DataFrame) -> DataFrame:
-    """Identifiers ready for a join: broadcast if they are few, else left to a shuffle."""
-    ids = materialize(ids, "pipeline-ids")
-    return F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids
+    found = op6_language.predict(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
+    return found.where("lang_pred <> 'und' and not ambiguous").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays; documents without id stay.
-
-    Rows of one id are one document: one of them stays.
-    """
-    found = near_copies.near_copies(docs).where("doc_id is not null")
-    each = materialize(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "pipeline-groups")
-    kept = docs.join(_bounded(each.where("not stays").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    if each.where("n > 1 and stays").take(1):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row of least id stays, those without id last."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = op10_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(_bounded(found), "doc_id", "left_anti").select(docs.columns)
+    """Documents whose text holds a benchmark item go."""
+    return op10_decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return docs
