@@ -175,21 +175,37 @@ def least_capacity(sizes, shards):
 @pytest.mark.parametrize("seed", range(8))
 def test_cuts_are_minimax(seed):
     rng = np.random.default_rng(seed)
-    sizes = np.sort(rng.integers(16, 60, 50))[::-1]
-    values, counts = np.unique(sizes, return_counts=True)
-    cuts = op3_shards.Runs(values[::-1].astype(np.int64), counts[::-1].astype(np.int64)).cuts(6)
-    place, rank, loads = [], Counter(), [0] * 6
-    for s in sizes:
-        shard = sum(s < c or (s == c and rank[s] >= r) for c, r in cuts)
-        rank[s] += 1
-        loads[shard] += s
-        place.append(shard)
-    assert place == sorted(place) and max(loads) == least_capacity(sizes.tolist(), 6)
-
-
-def test_a_giant_group_has_a_shard_of_its_own():
-    cuts = op3_shards.Runs(np.array([1000, 10], np.int64), np.array([1, 30], np.int64)).cuts(4)
-    assert cuts == [(10, 0), (10, 10), (10, 20)]
+    sizes = rng.integers(16, 60, 50) ** (1 + seed % 3)
+    for shards in (1, 2, 6, 49, 60):
+        at = np.searchsorted(op3_shards.cuts(sizes, shards), np.arange(len(sizes)), "right")
+        loads = np.bincount(at, weights=sizes, minlength=shards)
+        assert (np.diff(at) >= 0).all() and at[-1] < shards and loads.max() == least_capacity(sizes.tolist(), shards)
+
+
+def test_order_holds_each_atom_once_and_levels():
+    rng = np.random.default_rng(1)
+    for heavy, light in ((rng.integers(100, 5000, 70), rng.integers(1, 40, 3000)), (np.array([], int), rng.integers(1, 9, 50)), (np.array([10**6, 5, 4]), np.array([], int)), (np.array([10**6]), rng.integers(50, 60, 900))):
+        order = op3_shards.arranged(heavy, light, 8)
+        assert sorted(order.tolist()) == list(range(len(heavy) + len(light)))
+        sizes = np.concatenate((heavy, light))[order]
+        loads = np.bincount(np.searchsorted(op3_shards.cuts(sizes, 8), np.arange(len(sizes)), "right"), weights=sizes, minlength=8)
+        rest = sorted(loads)[:-1] if sizes.max() > sizes.sum() / 8 else loads
+        if len(light) > 50:
+            assert max(rest) - min(rest) <= 0.02 * np.mean(rest)
+
+
+def test_hot_and_null_ids_get_gapless_slots(spark):
+    df = spark.range(20_000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as doc_id", "case when id % 2 = 0 then 'hot' else concat('t', id % 4000) end as text", "id as row", "1 as shard", "2 as bin")
+    got = op3_shards.by_bytes(df).select("shard", "slot", "size").collect()
+    by = defaultdict(list)
+    for g in got:
+        by[g["shard"]].append(g["slot"])
+    assert len(got) == 20_000 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    loads = Counter()
+    for g in got:
+        loads[g["shard"]] += g["size"]
+    rest = sorted(loads.values())[:-1]  # the hot text fills one shard
+    assert len(loads) == 40 and max(rest) - min(rest) <= 0.1 * np.mean(rest)
 
 
 def test_shards(docs, empty):
