@@ -408,6 +408,23 @@ def test_quality_network(spark, docs, empty):
     assert op8_quality.score(empty, labels).count() == 0
 
 
+def test_context_sums_by_brute_force(spark):
+    texts = ["Good WORDS, good words 12!!", "a b", None, "", "x" * 5000 + " END OF Text", "a b a b a b c"]
+    got = {r["bucket"]: tuple(r)[1:] for r in op8_quality.context_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    place, sign = op8_quality.index_vectors()
+    n, sums = Counter(), defaultdict(lambda: np.zeros(op8_quality.WIDTH, int))
+    for t in texts:
+        at = [zlib.crc32(w) % op8_quality.BUCKETS for w in op8_quality.split(t)]
+        for i, b in enumerate(at):
+            n[b] += 1
+            for j in range(max(0, i - op8_quality.WINDOW), min(len(at), i + op8_quality.WINDOW + 1)):
+                if j != i:
+                    for k in range(op8_quality.NONZERO):
+                        sums[b][place[at[j], k]] += int(sign[at[j], k])
+    assert got == {b: (n[b], *sums[b].tolist()) for b in n}
+    assert op8_quality.split("Good WORDS, good 12!!\x00é Éa") == [b"good", b"\x00A", b"words", b",", b"good", b"12", b"!!", "é".encode(), "Éa".encode()]
+
+
 # ---- 9: BPE ----
 
 
