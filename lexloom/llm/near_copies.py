@@ -5,16 +5,17 @@ text is one shingle, A-Z lower-cased) have a weighted Jaccard similarity of at
 least 0.8. The n-th repeat of a shingle is an element of its own, so bags are
 sets. Copies of one bag are one print.
 
-1. SimHash: prints whose fingerprints link (operator 7's deletion-variant index)
-   are verified on the whole bags, and contracted into components. That joins
-   nearly all copies, clouds of thousands included.
+1. SimHash: fingerprints are linked by operator 7's deletion-variant index, and
+   each print is verified against the head of its component; those that pass are
+   one root. That joins nearly all copies, clouds of thousands included.
 2. The rest: 0.8 also allows fingerprints further apart than the index reaches,
-   so pairs of different components are completed by a prefix filter that loses
-   none. Of n elements a near copy shares 4n/5 at least, so under one order of
-   all elements the first n/5 + 1 of both meet. At the first element that two
-   share, the places left on both sides bound what they can share; pairs below
-   0.8 there, or by their sizes, go. The others are verified on the whole bags.
+   so pairs of different roots are completed by a prefix filter that loses none.
+   Of n elements a near copy shares 4n/5 at least, so under one order of all
+   elements the first n/5 + 1 of both meet. At the first element that two share,
+   the places left on both sides bound what they can share; pairs below 0.8
+   there, or by their sizes, go. The others are verified.
 
+Pairs are verified on the whole texts, which a shuffle carries more cheaply than bags.
 The order is that of the hashes, but the HOTTEST elements come last; which these
 are changes the work, not the result. In buckets of more than CROWDED prints only
 members outside the largest component are compared with the others.
@@ -25,13 +26,15 @@ or null ids are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm import op7_simhash
@@ -41,8 +44,8 @@ from lexloom.llm.op7_simhash import shingle_hashes, simhash
 SHINGLE = 5
 #: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are compared by component.
 COMMON, HOTTEST, CROWDED = 16, 100_000, 48
-#: Prints that a task remembers, so as to write a copied bag once.
-REMEMBERED = 200_000
+#: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts at once.
+BROADCAST, REMEMBERED, COUNTED = 1_000_000, 200_000, 2_000_000
 
 
 def bag(hashes: np.ndarray) -> np.ndarray:
@@ -52,87 +55,142 @@ def bag(hashes: np.ndarray) -> np.ndarray:
     return np.sort((hashes ^ (repeat * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
 
 
+def hashes_of(text: str | None) -> np.ndarray:
+    words = byte_words(text)
+    return shingle_hashes(words, SHINGLE) if words else np.zeros(1, np.uint64)
+
+
+def print_of(made: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(made.tobytes()) - (1 << 63)
+
+
+@functools.lru_cache(256)
+def bag_of(text: str | None) -> np.ndarray:
+    """The bag of a text, remembered as a text's pairs come together."""
+    return bag(hashes_of(text))
+
+
 def prints_of(keyed: DataFrame) -> DataFrame:
-    """(row, text) -> row, fp (of the bag), n, sim, and bag: once for each fp and task, else null."""
+    """(row, text) -> row, fp (of the bag), n and sim."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            fps, sizes, sims, bags = [], [], [], []
+            fps, sizes, sims = [], [], []
             for text in batch.column(1).to_pylist():
-                words = byte_words(text)
-                hashes = shingle_hashes(words, SHINGLE) if words else np.zeros(1, np.uint64)
-                made = bag(hashes)
-                fp = xxhash.xxh64_intdigest(made.tobytes()) - (1 << 63)
-                fps.append(fp)
-                sizes.append(len(made))
+                hashes = hashes_of(text)
+                fps.append(print_of(bag(hashes)))
+                sizes.append(len(hashes))
                 sims.append(simhash(hashes))
-                bags.append(None if fp in seen else made)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64())], ["row", "fp", "n", "sim"])
+
+    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(fp, bag) of a task's texts, copies that it remembers left out."""
+    seen: set[int] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            made = bag(hashes_of(text))
+            fp = print_of(made)
+            if fp not in seen:
                 if len(seen) < REMEMBERED:
                     seen.add(fp)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bags, pa.list_(pa.int64()))], ["row", "fp", "n", "sim", "bag"])
+                yield fp, made
+
 
-    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long, bag array<bigint>")
+def hottest(keyed: DataFrame) -> np.ndarray:
+    """The elements in most prefixes, sorted. Each task counts its own and reports what it meets twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["key", "c"])
 
+        held, size = [], 0
+        for _, made in _once(batches):
+            held.append(made[: len(made) // 5 + 1])
+            size += len(held[-1])
+            if size > COUNTED:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
-def prefix(bags: Column, last: np.ndarray) -> Column:
-    """The first n/5 + 1 elements; those of ``last`` (sorted) come after all others."""
+    counts = keyed.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON)
+    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()], np.int64))
 
-    def first(made: np.ndarray) -> np.ndarray:
-        if len(last):
-            made = made[np.argsort(last[np.minimum(np.searchsorted(last, made), len(last) - 1)] == made, kind="stable")]
-        return made[: len(made) // 5 + 1]
 
-    @F.pandas_udf("array<bigint>")
-    def of_bags(found: pd.Series) -> pd.Series:
-        return pd.Series([first(np.asarray(x, np.int64)) for x in found])
+def prefixes(keyed: DataFrame, last: np.ndarray) -> DataFrame:
+    """fp, n, and key and at (place) of the first n/5 + 1 elements; those of ``last`` come after all others."""
+    sent = keyed.sparkSession.sparkContext.broadcast(last)
 
-    return of_bags(bags)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = sent.value
+        for fp, made in _once(batches):
+            n = len(made)
+            if len(last):
+                made = made[np.argsort(last[np.minimum(np.searchsorted(last, made), len(last) - 1)] == made, kind="stable")]
+            made = made[: n // 5 + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), fp)), pa.array(np.full(len(made), n, np.int32)), pa.array(made), pa.array(np.arange(len(made), dtype=np.int32))], ["fp", "n", "key", "at"])
+
+    return keyed.select("text").mapInArrow(run, "fp long, n int, key long, at int")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, ready for a join: broadcast if its rows are few, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
+def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> DataFrame:
+    """Those pairs (a, b) of prints whose bags reach 0.8, by the texts of a row of each."""
+
+    @F.pandas_udf("boolean")
+    def reach(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(x, y, strict=True):
+            p, q = bag_of(s), bag_of(t)
+            out.append(len(np.intersect1d(p, q, assume_unique=True)) * 9 >= (len(p) + len(q)) * 4)
+        return pd.Series(out, dtype=bool)
+
+    row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"))
+    asked = materialize(pairs.distinct().join(row("a"), "a").join(row("b"), "b"), f"{name}-pairs")
+    text = lambda side: keyed.join(_few(rows[side]), "row", "left_semi").select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}"))
+    rows = {side: materialize(asked.select(F.col(f"row_{side}").alias("row")).distinct(), f"{name}-rows") for side in "ab"}
+    both = asked.join(text("a"), "row_a").join(text("b"), "row_b")
+    out = materialize(both.where(reach("text_a", "text_b")).select("a", "b"), name)
+    for used in (asked, *rows.values()):
+        release(used)
+    return out
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(keyed: DataFrame, prints: DataFrame) -> DataFrame:
     """Edges (a, b) of fps whose components are those of all near copies; prints as of ``prints_of``."""
-    held = prints.where("bag is not null")
-
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs that reach 0.8 on the whole bags."""
-        pairs = materialize(pairs.distinct(), f"{name}-pairs")
-        some = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        bags = materialize(held.select("fp", "bag").join(some, "fp").dropDuplicates(["fp"]), f"{name}-bags")
-        both = pairs.join(bags.select(F.col("fp").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("fp").alias("b"), F.col("bag").alias("y")), "b")
-        met = F.size(F.array_intersect("x", "y"))
-        out = materialize(both.where(met * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), name)
-        release(pairs)
-        release(bags)
-        return out
-
-    # 1. SimHash: one print stands for each fingerprint, its others hang on it
-    each = materialize(held.groupBy("fp").agg(F.min("sim").alias("sim")), "copies-each")
-    heads = materialize(each.groupBy("sim").agg(F.min("fp").alias("head")), "copies-heads")
-    near = op7_simhash.links(heads.select(F.col("sim").alias("fp")))
-    linked = near.join(heads.select(F.col("sim").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("sim").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    hung = each.join(heads, "sim").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
-    close = similar(linked.unionByName(hung), "copies-close")
-    roots = materialize(connected_components(close, "copies-contracted"), "copies-roots")
-
-    # 2. what lies further apart
-    counts = held.select(F.explode(F.expr("slice(bag, 1, n div 5 + 1)")).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
-    last = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()], np.int64))
-    index = held.select("fp", "n", F.posexplode(prefix(F.col("bag"), last)).alias("at", "key")).distinct()
-    index = materialize(index.join(roots, index.fp == roots.node, "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("root")), "copies-index")
-    sizes = index.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "c")
-    shared = materialize(index.join(sizes, "key"), "copies-shared")
-    wide = F.expr("l.root <> r.root and (l.n < r.n or l.n = r.n and l.fp < r.fp) and l.n * 5 >= r.n * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4")
-    either = F.expr("l.root <> r.root and least(l.n, r.n) * 5 >= greatest(l.n, r.n) * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4")
-    same, pair = F.expr("l.key = r.key"), [F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")]
+    # 1. SimHash: every print and the head of its fingerprint's component
+    each = materialize(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("row").alias("row")), "copies-each")
+    joined = op7_simhash.components(each.select(F.col("sim").alias("fp")).distinct())
+    of_root = materialize(each.join(joined, each.sim == joined.node, "left").select(each.fp, F.coalesce("root", "sim").alias("root")), "copies-of-root")
+    heads = materialize(of_root.groupBy("root").agg(F.min("fp").alias("head")), "copies-heads")
+    close = similar(of_root.join(heads, "root").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")), each, keyed, "copies-close")
+    release(of_root)
+    release(heads)
+
+    # 2. pairs of different roots that meet in a prefix
+    last = hottest(keyed)
+    index = prefixes(keyed, last).join(_few(close), F.col("fp") == F.col("b"), "left").select("key", "fp", "n", "at", F.coalesce("a", "fp").alias("root"))
+    met = W.partitionBy("key")
+    shared = index.repartition("key").distinct().withColumn("c", F.count("*").over(met)).where(F.col("c") > 1).withColumn("apart", F.min("root").over(met) != F.max("root").over(met))
+    shared = materialize(shared.where("apart").drop("apart"), "copies-shared")
+    fits = "l.root <> r.root and least(l.n, r.n) * 5 >= greatest(l.n, r.n) * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4"
+    same, pair = F.expr(f"l.key = r.key and {fits}"), [F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")]
     sparse, dense = shared.where(F.col("c") <= CROWDED), shared.where(F.col("c") > CROWDED)
-    pairs = sparse.alias("l").join(sparse.alias("r"), same & wide).select(*pair)
+    pairs = sparse.alias("l").join(sparse.alias("r"), same & F.expr("l.fp < r.fp")).select(*pair)
     largest = dense.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
     outside = dense.join(largest, "key").where("root <> largest")
-    pairs = pairs.unionByName(outside.alias("l").join(dense.alias("r"), same & either).select(*pair))
-    far = similar(pairs, "copies-far")
+    pairs = pairs.unionByName(outside.alias("l").join(dense.alias("r"), same).select(*pair))
+    far = similar(pairs, each, keyed, "copies-far")
     every = materialize(close.unionByName(far), "copies-links")
-    for used in (each, heads, near, close, roots, index, shared, far):
+    for used in (each, close, shared, far):
         release(used)
     return every
 
@@ -141,8 +199,8 @@ def rooted(keyed: DataFrame) -> DataFrame:
     """(row, doc_id, text) -> row, doc_id, root: rows of one group share their root."""
     small_batches(keyed.sparkSession)
     prints = materialize(prints_of(keyed), "copies-prints")
-    roots = materialize(connected_components(links(prints), "copies-components"), "copies-groups")
-    flat = prints.select("row", "fp").join(roots, F.col("fp") == roots.node, "left").select("row", F.coalesce("root", "fp").alias("root"))
+    roots = materialize(connected_components(links(keyed, prints), "copies-components"), "copies-groups")
+    flat = prints.select("row", "fp").join(_few(roots), F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("root"))
     out = materialize(flat.join(keyed.select("row", "doc_id"), "row"), "copies-rooted")
     for used in (prints, roots):
         release(used)
@@ -164,5 +222,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "copies-rows")
     found = rooted(keyed.select("row", "doc.doc_id", "doc.text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stays = found.groupBy("root").agg(first.alias("first")).select("first.row")
-    return keyed.join(stays, "row", "left_semi").select("doc.*")
+    stays = materialize(found.groupBy("root").agg(first.alias("first")).select("first.row"), "copies-stay")
+    return keyed.join(_few(stays), "row", "left_semi").select("doc.*")

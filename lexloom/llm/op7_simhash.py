@@ -110,6 +110,7 @@ def links(prints: DataFrame) -> DataFrame:
     crowded = materialize(sizes.where(F.col("n") > CROWDED), "simhash-crowded")
     near = F.expr(f"bit_count(l.fp ^ r.fp) <= {RADIUS}")
     if not crowded.take(1):
+        release(prints)
         return index.alias("l").join(index.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.fp < r.fp") & near & (F.col("l.key") == _first_shared("l.fp", "r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     # Sparse buckets: all pairs. Crowded buckets: stars first, then what stars left apart.
     sparse = index.join(crowded.select("key"), "key", "left_anti")
@@ -132,14 +133,18 @@ def links(prints: DataFrame) -> DataFrame:
     return every
 
 
+def components(prints: DataFrame) -> DataFrame:
+    """prints (fp, distinct) -> node, root: the fingerprints that have links, and the least one reachable."""
+    found = materialize(links(prints), "simhash-links")
+    return materialize(connected_components(found, "simhash-components"), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint, component_id, one row per input row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = materialize(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "simhash-prints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = materialize(links(prints.select("fp")), "simhash-links")
-    roots = connected_components(found, "simhash-components")
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
+    roots = components(prints.select("fp"))
     # tables of their own on both sides: a component of many fingerprints can be split in the join
     groups = materialize(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-groups")
     ids = materialize(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
