@@ -51,7 +51,7 @@ def build(act: DataFrame, amendment: DataFrame, rules: DataFrame, act_uid: str =
     nodes = union_all([*parts, root])
     made, lost = link.amendment_edges(changes, amendment_year)
     made, _ = upsert_edges(nodes, made, link.AMENDMENT_TYPES)
-    ruleset = f"ruleset-{parse.slug(rules_title)}"
+    ruleset = parse.ruleset_uid(rules_title)
     roots = link.root_edge(act, amendment_uid, "AMENDED_BY", act_uid).unionByName(link.root_edge(act, ruleset, "PRESCRIBES_FOR", act_uid))
     edges = union_all([link.link(nodes), roots, made.withColumn("seq", F.lit(0).cast("long")).select(link.EDGE)])
     return Loaded(nodes, edges, changes, lost)
