@@ -239,14 +239,6 @@ def test_main_text(spark):
     assert op4_html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_parts_by_name():
-    read = lambda h: op4_html.extract(h, frozenset(), frozenset())
-    assert read("<article><header class='entry-header'><h1>T</h1></header><p>a</p><section class='post-comments'>b</section></article>") == "T\n\na"
-    assert read("<div class='cookie-notice'>c</div><div id=content><p>a &#233;&lt;b&gt;</p></div><div class='side-bar widget'>x</div><div role=contentinfo>y</div>") == "a é<b>\n\ny"
-    assert read("<main><p>a<div class='ad'>buy<p>more</div>b<br>c</p></main><p>out</p>") == "a\n\nb c"
-    assert read("<p>unclosed <b>bold<p>next</i></article>") == "unclosed bold\n\nnext"
-
-
 def test_constant_text_is_template_without_an_article(spark):
     body = "<html><body><div><span>Read our blog</span></div><div><p>Story {0} here</p></div></body></html>"
     got = op4_html.main_text(spark.createDataFrame([(i, "http://c.io/", body.format(i)) for i in range(6)], "page_id long, url string, html string")).collect()
