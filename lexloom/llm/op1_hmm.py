@@ -123,7 +123,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
 
 
 def encode(rows: DataFrame, lex: Lexicon) -> DataFrame:
-    """(row, doc_id, held_out, text) -> symbols as int32 bytes, sums over hot words, and the cold words."""
+    """(row, doc_id, held_out, text) -> symbols as int32 bytes, sums over hot words, and the cold words with their counts."""
     sent = rows.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def encode(rows: DataFrame, lex: Lexicon) -> DataFrame:
         in_class = np.where(np.arange(len(words)) < SYMBOLS, 0.0, log_count - np.log10(lex.class_size[classes]))
         symbol = np.where(np.arange(len(words)) < SYMBOLS, np.arange(len(words)), SYMBOLS + classes)
         for batch in batches:
-            ids, n_tokens, n_known, base, inner, cold = [], [], [], [], [], []
+            ids, n_tokens, n_known, base, inner, cold, times = [], [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 found = byte_words(text)
                 at = np.fromiter(map(lex.place.get, found, itertools.repeat(-1)), np.int64, len(found))
@@ -143,9 +143,12 @@ def encode(rows: DataFrame, lex: Lexicon) -> DataFrame:
                 if len(known) < len(found):
                     rest = np.flatnonzero(at < 0).tolist()
                     seq[rest] = [SYMBOLS + word_class(found[i]) for i in rest]
-                    cold.append([found[i].decode() for i in rest])
+                    counted = Counter(found[i] for i in rest)  # a word comes once, however often the row has it
+                    cold.append([w.decode() for w in counted])
+                    times.append(list(counted.values()))
                 else:
                     cold.append([])
+                    times.append([])
                 if len(known):
                     seq[:-1][at >= 0] = symbol[known]
                 ids.append(seq.tobytes())
@@ -153,10 +156,10 @@ def encode(rows: DataFrame, lex: Lexicon) -> DataFrame:
                 n_known.append(len(known) + (lex.ends > 0))
                 base.append(float(log_count[known].sum() + np.log10(lex.ends + 1.0)) if len(words) else float(np.log10(lex.ends + 1.0)))
                 inner.append(float(in_class[known].sum()) if len(words) else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()), pa.array(cold, pa.list_(pa.string()))], ["row", "doc_id", "held_out", "ids", "n_tokens", "n_known", "base", "inner", "cold"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()), pa.array(cold, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], ["row", "doc_id", "held_out", "ids", "n_tokens", "n_known", "base", "inner", "cold", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, ids binary, n_tokens long, n_known long, base double, inner double, cold array<string>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, ids binary, n_tokens long, n_known long, base double, inner double, cold array<string>, times array<bigint>")
 
 
 class Batch:
@@ -356,13 +359,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     learned = fold(F.col("doc_id"), folds)
     hmm = train(encoded.where((learned != held) & (learned >= 0)), lex)
     # cold words: corpus counts by join, added up for each row
-    words = encoded.select("row", F.explode("cold").alias("word"))
+    words = encoded.select("row", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("row", F.col("x.cold").alias("word"), F.col("x.times").alias("k"))
     size = F.element_at(F.lit(lex.class_size.tolist()), (F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % CLASSES + 1).cast("int"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    cold = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(c + 1)).alias("cold_base"), F.sum((c > 0).cast("long")).alias("cold_known"), F.sum(F.log10((c + 1) / size)).alias("cold_inner"))
+    c, k = F.coalesce(F.col("n"), F.lit(0)), F.col("k")
+    cold = words.join(counts, "word", "left").groupBy("row").agg(F.sum(k * F.log10(c + 1)).alias("cold_base"), F.sum(F.when(c > 0, k).otherwise(0)).alias("cold_known"), F.sum(k * F.log10((c + 1) / size)).alias("cold_inner"))
     cold = materialize(cold, "lm-cold")
     paths = materialize(forward_scores(encoded, hmm), "lm-paths")
-    flat = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner")
+    flat = materialize(encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner"), "lm-rows")
+    for used in (counts, encoded):
+        release(used)
     every = float(np.log10(lex.total + lex.distinct + 1.0))
     return (
         flat.join(paths, "row").join(cold, "row", "left")
