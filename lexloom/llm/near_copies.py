@@ -39,25 +39,51 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import op7_simhash
 from lexloom.llm.common import byte_words, connected_components, materialize, release, small_batches
-from lexloom.llm.op7_simhash import shingle_hashes, simhash
+from lexloom.llm.op7_simhash import simhash
 
 SHINGLE = 5
 #: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are compared by component.
 COMMON, HOTTEST, CROWDED = 16, 100_000, 48
-#: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts at once.
-BROADCAST, REMEMBERED, COUNTED = 1_000_000, 200_000, 2_000_000
+#: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts and writes at once; words it remembers.
+BROADCAST, REMEMBERED, COUNTED, EMITTED, WORDS = 1_000_000, 200_000, 2_000_000, 100_000, 300_000
 
 
-def bag(hashes: np.ndarray) -> np.ndarray:
-    """Sorted distinct elements of a bag of hashes, as signed 64-bit numbers."""
-    hashes = np.sort(hashes)
-    repeat = (np.arange(len(hashes)) - np.searchsorted(hashes, hashes)).astype(np.uint64)
-    return np.sort((hashes ^ (repeat * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
+class WordHashes(dict):
+    """xxh64 of each word, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+HASHES = WordHashes()
 
 
 def hashes_of(text: str | None) -> np.ndarray:
+    """64 bits of each five-word shingle, mixed from the words' hashes; of all words if they are fewer; zero for none."""
     words = byte_words(text)
-    return shingle_hashes(words, SHINGLE) if words else np.zeros(1, np.uint64)
+    if not words:
+        return np.zeros(1, np.uint64)
+    of = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(of) - SHINGLE + 1)
+    mixed = np.full(n, min(len(of), SHINGLE), np.uint64)
+    for k in range(min(len(of), SHINGLE)):
+        mixed = (mixed ^ of[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ mixed >> np.uint64(32)
+
+
+def bag(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct elements of a bag of hashes, as signed 64-bit numbers."""
+    plain = np.sort(hashes.view(np.int64))
+    again = plain[1:] == plain[:-1]
+    if not again.any():
+        return plain
+    repeat = (np.arange(len(plain)) - np.searchsorted(plain, plain)).astype(np.uint64)
+    return np.sort((plain.view(np.uint64) ^ (repeat * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
 
 
 def print_of(made: np.ndarray) -> int:
@@ -71,17 +97,44 @@ def bag_of(text: str | None) -> np.ndarray:
 
 
 def prints_of(keyed: DataFrame) -> DataFrame:
-    """(row, text) -> row, fp (of the bag), n and sim."""
+    """(row, text) -> row, fp (of the bag), n and sim; and, with null rows, elements of prefixes and how often a task met them.
+
+    Of the elements those that a task meets twice or more are told, so few of them
+    leave it; copies that it remembers count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, size = [], 0
+
+        def out(rows, fps, sizes, sims) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()) if isinstance(rows, list) else rows, pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64())], ["row", "fp", "n", "sim"])
+
+        def met() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, n = keys[n > 1], n[n > 1].astype(np.int64)
+            return out([None] * len(keys), keys, [None] * len(keys), n)
+
         for batch in batches:
             fps, sizes, sims = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = hashes_of(text)
-                fps.append(print_of(bag(hashes)))
-                sizes.append(len(hashes))
+                made = bag(hashes)
+                fp = print_of(made)
+                fps.append(fp)
+                sizes.append(len(made))
                 sims.append(simhash(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64())], ["row", "fp", "n", "sim"])
+                if fp not in seen:
+                    if len(seen) < REMEMBERED:
+                        seen.add(fp)
+                    held.append(made[: len(made) // 5 + 1])
+                    size += len(held[-1])
+            yield out(batch.column(0), fps, sizes, sims)
+            if size > COUNTED:
+                yield met()
+                held, size = [], 0
+        if held:
+            yield met()
 
     return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long")
 
@@ -99,26 +152,10 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]
                 yield fp, made
 
 
-def hottest(keyed: DataFrame) -> np.ndarray:
-    """The elements in most prefixes, sorted. Each task counts its own and reports what it meets twice or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["key", "c"])
-
-        held, size = [], 0
-        for _, made in _once(batches):
-            held.append(made[: len(made) // 5 + 1])
-            size += len(held[-1])
-            if size > COUNTED:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    counts = keyed.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON)
-    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()], np.int64))
+def hottest(told: DataFrame) -> np.ndarray:
+    """The elements in most prefixes, sorted, from what ``prints_of`` tells of them."""
+    counts = told.groupBy("fp").agg(F.sum("sim").alias("c")).where(F.col("c") > COMMON)
+    return np.sort(np.array([r["fp"] for r in counts.orderBy(F.desc("c"), "fp").limit(HOTTEST).collect()], np.int64))
 
 
 def prefixes(keyed: DataFrame, last: np.ndarray) -> DataFrame:
@@ -126,13 +163,23 @@ def prefixes(keyed: DataFrame, last: np.ndarray) -> DataFrame:
     sent = keyed.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = sent.value
+        last, held, size = sent.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            counts = [len(made) for _, _, made in held]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([fp for fp, _, _ in held], np.int64), counts)), pa.array(np.repeat(np.array([n for _, n, _ in held], np.int32), counts)), pa.array(np.concatenate([made for _, _, made in held])), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]))], ["fp", "n", "key", "at"])
+
         for fp, made in _once(batches):
             n = len(made)
             if len(last):
                 made = made[np.argsort(last[np.minimum(np.searchsorted(last, made), len(last) - 1)] == made, kind="stable")]
-            made = made[: n // 5 + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), fp)), pa.array(np.full(len(made), n, np.int32)), pa.array(made), pa.array(np.arange(len(made), dtype=np.int32))], ["fp", "n", "key", "at"])
+            held.append((fp, n, made[: n // 5 + 1]))
+            size += len(held[-1][2])
+            if size > EMITTED:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     return keyed.select("text").mapInArrow(run, "fp long, n int, key long, at int")
 
@@ -164,8 +211,9 @@ def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> D
     return out
 
 
-def links(keyed: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) of fps whose components are those of all near copies; prints as of ``prints_of``."""
+def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
+    """Edges (a, b) of fps whose components are those of all near copies; ``told`` as of ``prints_of``."""
+    prints = told.where("row is not null")
     # 1. SimHash: every print and the head of its fingerprint's component
     each = materialize(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("row").alias("row")), "copies-each")
     joined = op7_simhash.components(each.select(F.col("sim").alias("fp")).distinct())
@@ -176,7 +224,7 @@ def links(keyed: DataFrame, prints: DataFrame) -> DataFrame:
     release(heads)
 
     # 2. pairs of different roots that meet in a prefix
-    last = hottest(keyed)
+    last = hottest(told.where("row is null"))
     index = prefixes(keyed, last).join(_few(close), F.col("fp") == F.col("b"), "left").select("key", "fp", "n", "at", F.coalesce("a", "fp").alias("root"))
     met = W.partitionBy("key")
     shared = index.repartition("key").distinct().withColumn("c", F.count("*").over(met)).where(F.col("c") > 1).withColumn("apart", F.min("root").over(met) != F.max("root").over(met))
@@ -200,7 +248,7 @@ def rooted(keyed: DataFrame) -> DataFrame:
     small_batches(keyed.sparkSession)
     prints = materialize(prints_of(keyed), "copies-prints")
     roots = materialize(connected_components(links(keyed, prints), "copies-components"), "copies-groups")
-    flat = prints.select("row", "fp").join(_few(roots), F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("root"))
+    flat = prints.where("row is not null").select("row", "fp").join(_few(roots), F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("root"))
     out = materialize(flat.join(keyed.select("row", "doc_id"), "row"), "copies-rooted")
     for used in (prints, roots):
         release(used)
