@@ -20,12 +20,13 @@ FORM_NOISE = "(?i)(?:Pre-fill|_{10,}|\\.{10,}|(?:\\.\\s+){5,}\\.|□\\s*□|○\
 NOTIFICATION = "(?i)(?:vide\\s+notification\\s+No\\.\\s+S\\.O\\.|see\\s+Gazette\\s+of\\s+India|notification\\s+No\\.\\s+(?:S\\.O\\.|G\\.S\\.R\\.))"
 COMMENCEMENT = "(?i)\\d{1,2}(?:st|nd|rd|th)\\s+\\w+,?\\s+\\d{4}\\s*-\\s*(?:S(?:ection)?s?\\.?\\s+\\d+|Sch)"
 STOPWORDS = "what which who how is are was were the a an of in for to and or by on at from with does do did has have had be been being it its that this those these there their they them about between under after before if when where all any no not can shall may will would should could also me my we our you your list show find tell trace full chain consequences give get make let know".split()
-AMENDMENT = ["amend(ed|ment|ing|s)?\\b", "change[ds]?\\b.*\\b(section|provision|chapter)", "modif(y|ied|ication)\\b", "substitut(e[ds]?|ion)\\b", "insert(ed|ion|s)?\\b", "omit(ted|s)?\\b", "decriminal", "revis(e[ds]?|ion)\\b", "alter(ed|ation|ing)?\\b"]
-PENALTY = ["penalt(y|ies)\\b", "fine[ds]?\\b", "punish(ment|able|ed)?\\b", "imprison(ment|ed)?\\b", "contravention\\b", "non[- ]?compliance\\b", "offence\\b", "violation\\b", "liabilit(y|ies)\\b", "personally\\s+liable\\b"]
-CROSS_REFERENCE = ["refer(s|ence|enced|ring)?\\b.*\\bto\\b", "cross[- ]?refer", "subject\\s+to\\b", "notwithstanding\\b", "which\\s+(sections?|provisions?|rules?)\\s+(refer|cite|mention)", "rules?\\b.*\\b(relate|reference|apply|prescribe)", "corresponding\\s+(rules?|sections?|provisions?)\\b", "(have|has|with)\\s+no\\s+(corresponding|related|matching)\\b", "chapters?\\b.*\\brules?\\b", "rules?\\b.*\\bchapters?\\b", "which\\s+(rules?|sections?)\\s+(are|exist|apply|link|connect)"]
-GENERAL_INFO = ["how\\s+many\\b", "what\\s+(does|is)\\s+(chapter|the\\s+(companies\\s+)?act)\\b", "overview\\b", "provisions?\\s+of\\s+the\\b"]
+AMENDMENT = ["\\bamend(ed|ment|ing|s)?\\b", "\\bchange[ds]?\\b.*\\b(section|provision|chapter)", "\\bmodif(y|ied|ication)\\b", "\\bsubstitut(e[ds]?|ion)\\b", "\\binsert(ed|ion|s)?\\b", "\\bomit(ted|s)?\\b", "\\bdecriminal", "\\brevis(e[ds]?|ion)\\b", "\\balter(ed|ation|ing)?\\b"]
+PENALTY = ["\\bpenalt(y|ies)\\b", "\\bfine[ds]?\\b", "\\bpunish(ment|able|ed)?\\b", "\\bimprison(ment|ed)?\\b", "\\bcontravention\\b", "\\bnon[- ]?compliance\\b", "\\boffence\\b", "\\bviolation\\b", "\\bliabilit(y|ies)\\b", "\\bpersonally\\s+liable\\b"]
+CROSS_REFERENCE = ["\\brefer(s|ence|enced|ring)?\\b.*\\bto\\b", "\\bcross[- ]?refer", "\\bsubject\\s+to\\b", "\\bnotwithstanding\\b", "\\bwhich\\s+(sections?|provisions?|rules?)\\s+(refer|cite|mention)", "\\brules?\\b.*\\b(relate|reference|apply|prescribe)", "\\bcorresponding\\s+(rules?|sections?|provisions?)\\b", "\\b(have|has|with)\\s+no\\s+(corresponding|related|matching)\\b", "\\bchapters?\\b.*\\brules?\\b", "\\brules?\\b.*\\bchapters?\\b", "\\bwhich\\s+(rules?|sections?)\\s+(are|exist|apply|link|connect)"]
+GENERAL_INFO = ["\\bhow\\s+many\\b", "\\bwhat\\s+(does|is)\\s+(chapter|the\\s+(companies\\s+)?act)\\b", "\\boverview\\b", "\\bprovisions?\\s+of\\s+the\\b"]
 SECTION_MENTION = "(?i)\\b(section|s\\.\\s*\\d|rule|chapter|provision)\\b"
 WRITE_WORDS = "CREATE MERGE SET DELETE DETACH REMOVE DROP FOREACH LOAD".split()
+CALL_WORD = "CALL"
 DECRIMINAL = "(?i)(?:shall\\s+be\\s+liable\\s+to\\s+(?:a\\s+)?penalty|compoundable|in\\s+lieu\\s+of\\s+(?:fine|imprisonment|prosecution)|decriminal|civil\\s+penalty|penalty\\s+(?:not\\s+exceeding|which\\s+may\\s+extend)|in\\s+default\\s+of\\s+which\\s+(?:a\\s+)?penalty)"
 AUDIT_GARBLE = ["[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]{2,}", "[□○●◆■]{2,}", "(?:\\.\\s+){5,}", "\\x00{2,}", "[ो]{3,}|[ा]{3,}|[ै]{3,}|[ी]{3,}"]
 AUDIT_LEGAL = "section|sub-section|clause|proviso|provided|shall|may|company|director|board|tribunal|registrar|act|rule|regulation"
@@ -35,7 +36,7 @@ AUDIT_FORM = "(?i)(?:_{5,}|\\.{5,}|Pre-fill|\\(?\\s*/\\s*/\\s*\\)?|ई-\\s*ई)"
 
 
 def any_of(patterns: list[str]) -> str:
-    return "(?i)" + "|".join(f"\\b{p}" for p in patterns)
+    return "(?i)" + "|".join(patterns)
 
 
 def slugify(text: Column) -> Column:
@@ -92,13 +93,13 @@ def without_footnotes(text: Column) -> Column:
 
 
 def nonspace(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "(?U)\\s", ""))
+    return F.length(F.regexp_replace(text, "(?U)\\s+", ""))
 
 
 def share(text: Column, char_class: str) -> Column:
     """Share of non-space characters in a class; 0 without any."""
     n = nonspace(text)
-    return F.when(n > 0, F.length(F.regexp_replace(text, f"[^{char_class}]", "")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.length(F.regexp_replace(text, f"[^{char_class}]+", "")) / n).otherwise(F.lit(0.0))
 
 
 def script_language(text: Column) -> Column:
@@ -127,8 +128,19 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.size(F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")), F.lit(1))
 
 
+def legal_count(text: Column) -> Column:
+    """Legal terms in a text: single words are counted in its words, the few phrases by a pattern."""
+    terms = LEGAL_TERMS.split("|")
+    words = [t for t in terms if t.isalpha()]
+    phrases = "|".join(t for t in terms if " " in t)
+    # a hyphenated term counts by its last word, which is a term itself
+    single = F.size(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w.isin(words)))
+    hindi = F.when(text.rlike(f"[{DEVANAGARI}]"), F.regexp_count(text, F.lit(f"({HINDI_LEGAL_TERMS})"))).otherwise(0)
+    return single + F.regexp_count(text, F.lit(f"(?i)\\b({phrases})\\b")) + hindi
+
+
 def legal_density(text: Column) -> Column:
-    return (F.regexp_count(text, F.lit(f"(?i)\\b({LEGAL_TERMS})\\b")) + F.regexp_count(text, F.lit(f"({HINDI_LEGAL_TERMS})"))) / word_count(text)
+    return legal_count(text) / word_count(text)
 
 
 def nul_count(text: Column) -> Column:
@@ -137,18 +149,26 @@ def nul_count(text: Column) -> Column:
 
 def quality(text: Column, node_type: Column | None = None) -> Column:
     """struct(score, is_usable, issues, legal_density, text_length) of the pipeline scorer."""
-    empty = text.isNull() | (F.length(strip(text)) == 0)
-    n, density, content = F.length(text), legal_density(text), content_ratio(text)
-    forms, nul = F.regexp_count(text, F.lit(FORM_NOISE)), nul_count(text)
-    raw = F.least(n / 50, F.lit(1.0)) * 20 + F.least(density * 300, F.lit(30.0)) + content * 30 - F.least(nul * 10, F.lit(40)) - F.least(forms * 2, F.lit(20))
-    score = F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))
-    low = (content < 0.25) & (n > 30)
-    tests = [(nul > 0, "NULL_BYTES"), (share(text, DEVANAGARI) > 0.3, "HINDI_TEXT"), (low, "LOW_ALPHA_RATIO"), (n < 20, "VERY_SHORT"), (n > 5000, "OVERSIZED"), ((density == 0) & (n > 100), "NO_LEGAL_TERMS"), (forms > 5, "FORM_TEMPLATE_HEAVY")]
-    issues = F.array_compact(F.array(*[F.when(t, name) for t, name in tests]))
     title = F.coalesce(node_type.isin("Act", "Chapter", "RuleSet"), F.lit(False)) if node_type is not None else F.lit(False)
-    return F.when(empty, F.struct(F.lit(0.0).alias("score"), title.alias("is_usable"), F.array(F.lit("EMPTY_TEXT")).alias("issues"), F.lit(0.0).alias("legal_density"), F.lit(0).alias("text_length"))).otherwise(
-        F.struct(score.alias("score"), ((score >= 35) & (nul == 0) & ~low).alias("is_usable"), issues.alias("issues"), density.alias("legal_density"), n.alias("text_length"))
-    )
+    count = lambda c: F.length(F.regexp_replace(text, f"[^{c}]+", ""))
+    words = F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
+    # the counts are bound once: a text is split once and read once for each class of characters
+    sizes = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("words"), F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x)).alias("dense")))[0]
+    counts = F.struct(sizes.alias("of"), count(f"\\p{{L}}{DEVANAGARI}").alias("content"), count(DEVANAGARI).alias("hindi"), legal_count(text).alias("legal"), F.regexp_count(text, F.lit(FORM_NOISE)).alias("forms"), nul_count(text).alias("nul"), F.length(text).alias("n"))
+
+    def scored(c: Column) -> Column:
+        dense, n, forms, nul = c["of"]["dense"], c["n"], c["forms"], c["nul"]
+        part = lambda x: F.when(dense > 0, x / dense).otherwise(F.lit(0.0))
+        density, content = c["legal"] / F.greatest(c["of"]["words"], F.lit(1)), part(c["content"])
+        raw = F.least(n / 50, F.lit(1.0)) * 20 + F.least(density * 300, F.lit(30.0)) + content * 30 - F.least(nul * 10, F.lit(40)) - F.least(forms * 2, F.lit(20))
+        score, low = F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), (content < 0.25) & (n > 30)
+        tests = [(nul > 0, "NULL_BYTES"), (part(c["hindi"]) > 0.3, "HINDI_TEXT"), (low, "LOW_ALPHA_RATIO"), (n < 20, "VERY_SHORT"), (n > 5000, "OVERSIZED"), ((density == 0) & (n > 100), "NO_LEGAL_TERMS"), (forms > 5, "FORM_TEMPLATE_HEAVY")]
+        issues = F.array_compact(F.array(*[F.when(t, name) for t, name in tests]))
+        return F.struct(score.alias("score"), ((score >= 35) & (nul == 0) & ~low).alias("is_usable"), issues.alias("issues"), density.alias("legal_density"), n.alias("text_length"))
+
+    none = F.struct(F.lit(0.0).alias("score"), title.alias("is_usable"), F.array(F.lit("EMPTY_TEXT")).alias("issues"), F.lit(0.0).alias("legal_density"), F.lit(0).alias("text_length"))
+    empty = text.isNull() | (F.length(strip(text)) == 0)
+    return F.when(empty, none).otherwise(F.transform(F.array(counts), scored)[0])
 
 
 def audit_score(text: Column) -> Column:
@@ -203,6 +223,11 @@ def is_write(query: Column) -> Column:
     return bare.rlike(f"(?i)\\b({'|'.join(WRITE_WORDS)})\\b")
 
 
+def is_call(query: Column) -> Column:
+    """Whole-word CALL outside of string literals: refused in users' own queries."""
+    return F.regexp_replace(query, "'[^']*'|\"[^\"]*\"", "''").rlike(f"(?i)\\b{CALL_WORD}\\b")
+
+
 def amendment_type(text: Column) -> Column:
     """Kind of an amendment instruction; the decriminalising wording wins over plain substitution."""
     shall = lambda verb: text.rlike(f"(?i)shall\\s+be\\s+{verb}")

@@ -52,7 +52,7 @@ def upsert_nodes(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("label",
 def last_property_wins(df: DataFrame, keys: Sequence[str], ord_column: str = "ord") -> DataFrame:
     """Rows of one key folded to one: the last non-null value of each property by ord."""
     if ord_column not in df.columns:
-        return df.dropDuplicates(list(keys))
+        raise ValueError(f"rows of one key need the order column {ord_column}")
     cols = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ord_column))).alias(c) for c in cols])
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators.graph import ROOTS
+from lexloom.operators.graph import ROOTS, nearest_rank, union_all
+from lexloom.operators.link import AMENDMENT_TYPES
+from lexloom.tables import materialize
 
-SECTIONS = 470
+SECTIONS, MISSING, MOST_WARNINGS = 470, 30, 50
+SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
 def parse_report(nodes: DataFrame, expected: int = SECTIONS) -> DataFrame:
@@ -65,6 +68,98 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def evaluation(runs: DataFrame) -> DataFrame:
-    """category, n, rates and mean latency of recorded answers."""
+    """category (null: all of them), n, rates, mean latency and its percentiles by rank, of recorded answers."""
+    every = runs.withColumn("category", F.explode(F.array(F.lit(None).cast("string"), F.col("category"))))
     ok = F.col("status") == "ok"
-    return runs.groupBy("category").agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("ok_rate"), F.avg(F.when(ok, F.col("answer_ok").cast("double"))).alias("answer_rate"), F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_ms"))
+    rates = every.groupBy("category").agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("ok_rate"), F.avg(F.when(ok, F.col("answer_ok").cast("double"))).alias("answer_rate"), F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_ms"))
+    timed = every.where(ok & F.col("latency_ms").isNotNull()).select(F.coalesce("category", F.lit("")).alias("key"), "latency_ms")
+    ranks = nearest_rank(timed, "key", "latency_ms", {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99}).drop("n")
+    return rates.join(ranks, F.coalesce("category", F.lit("")) == F.col("key"), "left").drop("key")
+
+
+def amendment_report(amendments: DataFrame) -> DataFrame:
+    """One row: amendments, share of known types, and warnings about those without a type, target or text."""
+    known = F.coalesce(F.col("amendment_type").isin(list(AMENDMENT_TYPES)), F.lit(False))
+    target = F.coalesce(F.col("target_section").rlike("^section \\d+$"), F.lit(False))
+    warning = F.when(~known, F.concat(F.lit("no known type: "), F.substring("raw_text", 1, 80))).when(~target, F.concat(F.lit("no target: "), F.substring("raw_text", 1, 80)))
+    return amendments.agg(F.count("*").alias("amendments"), F.round(F.avg(known.cast("double")) * 100, 1).alias("valid_type_pct"), F.count_if(F.coalesce("new_text", F.lit("")) != "").alias("with_text"), F.count(warning).alias("warned"), F.array_sort(F.slice(F.collect_set(warning), 1, MOST_WARNINGS)).alias("warnings"))
+
+
+def rules_report(nodes: DataFrame) -> DataFrame:
+    """One row: rules, forms, and the share of rules with a title."""
+    rule = F.col("label") == "Rule"
+    titled = F.avg(F.when(rule, (F.coalesce("title", F.lit("")) != "").cast("double")))
+    return nodes.agg(F.count_if(rule).alias("rules"), F.count_if(F.col("label") == "Form").alias("forms"), F.round(F.coalesce(titled, F.lit(0.0)) * 100, 1).alias("titled_pct"))
+
+
+def load_summary(nodes: DataFrame, attempted: DataFrame, created: DataFrame) -> DataFrame:
+    """One row: nodes, edges attempted and edges whose two ends exist."""
+    counts = [df.agg(F.count("*").alias(name)) for df, name in ((nodes, "nodes"), (attempted, "edges_attempted"), (created, "edges_created"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+
+
+def preprocess_report(nodes: DataFrame) -> DataFrame:
+    """label, nodes, usable, with issues, characters and mean quality of preprocessed nodes."""
+    scored = nodes.where("quality is not null")
+    return scored.groupBy("label").agg(F.count("*").alias("nodes"), F.count_if("quality.is_usable").alias("usable"), F.count_if(F.size("quality.issues") > 0).alias("with_issues"), F.sum("quality.text_length").alias("characters"), F.round(F.avg("quality.score"), 2).alias("mean_quality"))
+
+
+def compare_preprocess(before: DataFrame, after: DataFrame) -> DataFrame:
+    """label and, before and after cleaning: nodes, characters, empty ones, mean quality of the text."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        return df.groupBy("label").agg(F.count("*").alias(f"nodes_{name}"), F.sum(F.length(text)).alias(f"characters_{name}"), F.count_if(text == "").alias(f"empty_{name}"), F.round(F.avg(T.quality(F.col("text"), F.col("label"))["score"]), 2).alias(f"quality_{name}"))
+
+    return side(before, "before").join(side(after, "after"), "label", "full_outer")
+
+
+def depths(nodes: DataFrame, most: int = 12) -> DataFrame:
+    """uid, label, depth below its root; nodes that no root reaches within ``most`` steps have no depth."""
+    flat = nodes.select("uid", "label", "parent").distinct()
+    level = materialize(flat.where("parent is null").select("uid", "label", F.lit(0).alias("depth")), "depths")
+    found = [level]
+    for depth in range(1, most + 1):
+        level = materialize(flat.join(level.select(F.col("uid").alias("parent")), "parent").select("uid", "label", F.lit(depth).alias("depth")), "depths")
+        if level.isEmpty():
+            break
+        found.append(level)
+    reached = union_all(found)
+    return reached.unionByName(flat.join(reached, "uid", "left_anti").select("uid", "label", F.lit(None).cast("int").alias("depth")))
+
+
+def worst(nodes: DataFrame, n: int = 10) -> DataFrame:
+    """The n nodes of least audit score."""
+    return nodes.select("uid", "label", T.audit_score(F.col("text")).alias("score")).orderBy("score", "uid").limit(n)
+
+
+def gaps(nodes: DataFrame, amendments: DataFrame, expected: int = SECTIONS) -> DataFrame:
+    """severity, gap, found: rules over roll-ups of the audit that are broken, worst severity first."""
+    length = F.length(F.coalesce("text", F.lit("")))
+    of = lambda label: F.col("label") == label
+    sums = nodes.agg(F.count_if(of("Section")).alias("sections"), F.count_if(of("Section") & (length < 50)).alias("short_sections"), F.count_if(of("Rule")).alias("rules"), F.count_if(of("Rule") & (length == 0)).alias("empty_rules"), F.count_if(length > 5000).alias("oversized"), F.count_if(T.is_garbled(F.col("text")) & (length > 0)).alias("garbled"))
+    texts = amendments.agg(F.count("*").alias("amendments"), F.count_if(F.coalesce("new_text", F.lit("")) == "").alias("without_text"))
+    rules = [("CRITICAL", "sections are missing", F.greatest(F.lit(expected) - F.col("sections"), F.lit(0))), ("CRITICAL", "texts are garbled", F.col("garbled")), ("HIGH", "amendments have no new text", F.col("without_text")), ("HIGH", "rules are empty", F.col("empty_rules")), ("MEDIUM", "sections are short", F.col("short_sections")), ("LOW", "texts are oversized", F.col("oversized"))]
+    each = sums.crossJoin(texts).select(F.explode(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(g).alias("gap"), n.cast("long").alias("found")) for s, g, n in rules])).alias("x")).select("x.*")  # one row each
+    return each.where("found > 0").orderBy(_rank(F.col("severity")), "gap")
+
+
+def _rank(severity: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
+
+
+def severity_counts(found: DataFrame) -> DataFrame:
+    """One row: gaps of each severity."""
+    return found.agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES])
+
+
+def audit_report(nodes: DataFrame, amendments: DataFrame, expected: int = SECTIONS) -> dict[str, DataFrame]:
+    """The parts of an audit: sums by label, depths, worst nodes, missing sections, gaps and their severities."""
+    found = gaps(nodes, amendments, expected)
+    below = depths(nodes).groupBy("label", "depth").agg(F.count("*").alias("nodes"))
+    return {"labels": preprocess_report(preprocess(nodes)), "depths": below, "worst": worst(nodes), "missing": missing_sections(nodes, expected).limit(MISSING), "gaps": found, "severities": severity_counts(found)}
+
+
+def write_audit(parts: dict[str, DataFrame], path: str) -> None:
+    """One JSON folder for each part."""
+    for name, part in parts.items():
+        part.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")

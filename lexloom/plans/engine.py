@@ -3,64 +3,28 @@ run, full-text fallback, effective text, extractive answer with sources."""
 
 from __future__ import annotations
 
+import inspect
 import re
+import threading
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.functions.vocabulary import LEAST_LENGTH, LEGAL_VOCABULARY, MOST_EDITS
 from lexloom.operators import resolve, search
-from lexloom.plans import templates
+from lexloom.plans import questions, templates
 from lexloom.plans.templates import TEMPLATES, Graph
 
 NOT_FOUND = "I could not find relevant information in the indexed documents for this question."
-CACHED, MOST_ROWS, EXCERPT = 128, 25, 200
-
-# --- Fixed values: abbreviations and Hindi terms of questions ---
-ABBREVIATIONS = [(r"\bCSR\b", "Corporate Social Responsibility (Section 135)"), (r"\bAGM\b", "Annual General Meeting (Section 96)"), (r"\bEGM\b", "Extraordinary General Meeting"), (r"\bKMP\b", "Key Managerial Personnel"), (r"\bMD\b", "Managing Director"), (r"\bROC\b", "Registrar of Companies"), (r"\bNCLT\b", "National Company Law Tribunal"), (r"\bNCLAT\b", "National Company Law Appellate Tribunal"), (r"(?i)\bsub[- ]?sec\.?\s+", "sub-section "), (r"(?i)\bsec\.?\s+", "section ")]
-HINDI = {"सीएसआर": "CSR", "एजीएम": "AGM", "केएमपी": "KMP", "एनसीएलटी": "NCLT", "धारा": "section", "उपधारा": "sub-section", "कंपनी": "company", "निदेशक": "director", "अधिनियम": "act", "नियम": "rule", "परिभाषा": "definition", "अध्याय": "chapter", "दंड": "penalty", "संशोधन": "amendment", "शेयर": "share", "लाभांश": "dividend", "पूंजी": "capital", "सदस्य": "member", "लेखा": "accounts", "लेखापरीक्षा": "audit", "प्रतिभूति": "securities", "शक्ति": "power", "अनुसूची": "schedule", "प्रबंध": "management", "प्रशासन": "administration", "बैठक": "meeting", "प्रस्ताव": "resolution", "समापन": "winding up", "विलय": "merger", "संबंधित पक्ष": "related party", "कर्तव्य": "duties", "उत्तरदायित्व": "liability", "सामाजिक उत्तरदायित्व": "corporate social responsibility"}
-HINDI_PHRASES = {"क्या है": "what is", "क्या कहती है": "what does it say", "क्या कहता है": "what does it say", "क्या हैं": "what are", "कौन से": "which", "कौन सी": "which", "कितने": "how many", "कितनी": "how many", "कैसे": "how", "बताइए": "tell me about", "बताओ": "tell me about", "दिखाइए": "show me", "दिखाओ": "show me", "के बारे में": "about", "के तहत": "under", "में क्या": "what in", "का अर्थ": "meaning of", "की सूची": "list of"}
-# --- end of fixed values ---
-
-
-def edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def correct(word: str, protected: frozenset[str] = frozenset()) -> str:
-    low = word.lower()
-    if len(low) < LEAST_LENGTH or low in LEGAL_VOCABULARY or low in protected:
-        return word
-    best = min(((d, w) for w in LEGAL_VOCABULARY if abs(len(w) - len(low)) <= MOST_EDITS and (d := edits(low, w)) <= MOST_EDITS), default=None)
-    return word if best is None else best[1].capitalize() if word[0].isupper() else best[1]
-
-
-def prepare(question: str, protected: frozenset[str] = frozenset()) -> str:
-    """One question, spelt right, with abbreviations spelt out and Hindi glossed."""
-    fix = lambda s: re.sub(r"[A-Za-z]+", lambda m: correct(m.group(), protected), s)
-    expand = lambda s: [s := re.sub(p, to, s) for p, to in ABBREVIATIONS][-1]
-    out = question.strip()
-    dense = "".join(out.split())
-    if not dense or sum("ऀ" <= c <= "ॿ" for c in dense) / len(dense) <= 0.1:
-        return expand(fix(out))
-    english = out
-    for terms in (HINDI, HINDI_PHRASES):
-        for k in sorted(terms, key=len, reverse=True):
-            english = english.replace(k, terms[k])
-    english = expand(fix(re.sub(r"\s+", " ", re.sub(r"[ऀ-ॿ?।]+", "", english)).strip()))
-    return expand(f"{out} [English: {english}]" if english else out)
-
+CACHED, MOST_ROWS, EXCERPT, TIMEOUT = 128, 25, 200, 90.0
 
 @dataclass(frozen=True)
 class Plan:
@@ -108,26 +72,38 @@ def candidates(question: str, intent: str) -> list[Plan]:
     return [Plan(name, dict(slots)) for name, slots in unique]
 
 
-def sources_of(rows: list[dict]) -> list[dict]:
-    """uid, type and excerpt of each uid that the rows name, once, in order."""
+def _uids(row: dict) -> list[str]:
+    uids = [v for k, v in row.items() if v and (k == "uid" or k.endswith(("_uid", ".uid")))]
+    if not uids and row.get("number"):
+        uids = [f"sec-{row['number']}" if str(row["number"]).isdigit() else f"rule-{row['number']}"]
+    elif not uids and row.get("term"):
+        uids = ["def-" + re.sub(r"[^a-z0-9]+", "-", row["term"].lower()).strip("-")]
+    return uids
+
+
+def sources_of(rows: list[dict], labels: dict[str, str] | None = None) -> list[dict]:
+    """uid, type and excerpt of each uid that the rows name, once, in order; ``labels`` gives types that rows lack."""
     found: dict[str, dict] = {}
     for row in rows:
-        uids = [(k, v) for k, v in row.items() if v and (k == "uid" or k.endswith(("_uid", ".uid")))]
-        if not uids and row.get("number"):
-            uids = [("uid", f"sec-{row['number']}" if str(row["number"]).isdigit() else f"rule-{row['number']}")]
-        elif not uids and row.get("term"):
-            uids = [("uid", f"def-{re.sub(r'[^a-z0-9]+', '-', row['term'].lower()).strip('-')}")]
-        for _, uid in uids:
+        for uid in _uids(row):
             text = row.get("text") or row.get("title") or row.get("term") or row.get("new_text") or ""
-            found.setdefault(uid, {"uid": uid, "type": row.get("type") or label_of(uid), "excerpt": str(text)[:EXCERPT]})
+            found.setdefault(uid, {"uid": uid, "type": row.get("type") or (labels or {}).get(uid, "Node"), "excerpt": str(text)[:EXCERPT]})
     return list(found.values())
 
 
-def label_of(uid: str) -> str:
-    for pattern, label in ((r"-proviso-\d+$", "Proviso"), (r"-expl-\d+$", "Explanation"), (r"-sc-", "SubClause"), (r"-cl-", "Clause"), (r"-ss-", "SubSection"), (r"^sec-", "Section"), (r"^ch-", "Chapter"), (r"^def-", "Definition"), (r"^ruleset-", "RuleSet"), (r"^rule-", "Rule"), (r"^form-", "Form"), (r"^amend-", "AmendmentAct"), (r"^act-", "Act"), (r"^sch", "Schedule")):
-        if re.search(pattern, uid):
-            return label
-    return "Node"
+def path_of(rows: list[dict], labels: dict[str, str] | None = None) -> str:
+    """``(Label:id)`` of each row, once, in order, joined by arrows."""
+    steps = []
+    for row in rows:
+        label = row.get("type") or row.get("label") or next(((labels or {}).get(u, "Node") for u in _uids(row)), "Node")
+        name = next((str(row[k]) for k in ("number", "uid", "title") if row.get(k)), "?")
+        steps.append(f"({label}:{name})")
+    return " -> ".join(dict.fromkeys(steps))
+
+
+def numbered(rows: list[dict]) -> str:
+    """Rows as numbered records of their non-empty fields."""
+    return "\n".join(f"[{k}] " + "; ".join(f"{name}: {value}" for name, value in row.items() if value not in (None, "", [])) for k, row in enumerate(rows, 1))
 
 
 def citations_of(answer: str, sources: list[dict]) -> list[dict]:
@@ -135,6 +111,44 @@ def citations_of(answer: str, sources: list[dict]) -> list[dict]:
     return [known[u] for u in dict.fromkeys(re.findall(r"\[([a-z][\w-]*)\]", answer)) if u in known]
 
 
+def guarded(spark: SparkSession, query: str) -> str | None:
+    """Why a user's query is refused, or None.
+
+    It must parse as one query (no command does), name no relation but nodes,
+    edges and its own common tables, and call no Java method.
+    """
+    write, call = spark.range(1).select(T.is_write(F.lit(query)), T.is_call(F.lit(query))).first()
+    if write or call:
+        return "only read queries are allowed"
+    tree = spark._jsparkSession.sessionState().sqlParser().parseQuery(query).treeString()
+    own = {name for names in re.findall(r"CTE \[([^\]]*)\]", tree) for name in re.split(r",\s*", names.lower())}
+    other = {name.lower() for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)} - own - {"nodes", "edges"}
+    if other:
+        return f"unknown relations: {', '.join(sorted(other))}"
+    return "Java methods are not allowed" if re.search(r"(?i)'?\b(try_)?(reflect|java_method)\(", tree) else None
+
+
+@contextmanager
+def limited(spark: SparkSession, seconds: float | None) -> Iterator[threading.Event]:
+    """Cancels the jobs started inside after so many seconds; the event tells whether that happened."""
+    tag, late = f"question-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop) if seconds is not None else None
+    spark.sparkContext.addJobTag(tag)
+    if timer:
+        timer.start()
+    try:
+        yield late
+    finally:
+        if timer:
+            timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
 class Engine:
     """Answers over one graph; nodes and edges are read many times and may be cached by the caller."""
 
@@ -147,9 +161,23 @@ class Engine:
     def intent(self, question: str) -> str:
         return self.spark.range(1).select(T.intent(F.lit(question))).first()[0]
 
+    def prepare(self, question: str) -> str:
+        return questions.prepared(self.spark.createDataFrame([(0, question)], "key int, text string")).first()["prepared"]
+
     def run(self, plan: Plan) -> list[dict]:
-        """At most MOST_ROWS rows of a listing come to the driver."""
-        return [r.asDict(recursive=True) for r in TEMPLATES[plan.template](self.graph, **plan.slots).limit(MOST_ROWS).collect()]
+        """Rows of a template: as many as it declares, or at most MOST_ROWS if it declares no limit."""
+        made = TEMPLATES[plan.template]
+        found = made(self.graph, **plan.slots)
+        if "limit" not in inspect.signature(made).parameters:
+            found = found.limit(MOST_ROWS)
+        return [r.asDict(recursive=True) for r in found.collect()]
+
+    def labels(self, rows: list[dict]) -> dict[str, str]:
+        """Labels by the form of the uids that the rows name without a type."""
+        uids = sorted({u for row in rows if not row.get("type") for u in _uids(row)})
+        if not uids:
+            return {}
+        return {r["uid"]: r["label"] for r in self.spark.createDataFrame([(u,) for u in uids], "uid string").select("uid", T.label_of_uid(F.col("uid")).alias("label")).collect()}
 
     def sql(self, query: str, most: int | None = None) -> dict:
         """Read-only SQL over the views nodes and edges; errors are data.
@@ -157,13 +185,13 @@ class Engine:
         All rows come to the driver in the query's own order, unless the caller
         sets ``most``; ``truncated`` tells whether there were more than that.
         """
-        if self.spark.range(1).select(T.is_write(F.lit(query))).first()[0]:
-            return {"results": [], "truncated": False, "error": "only read queries are allowed"}
         try:
+            if (why := guarded(self.spark, query)) is not None:
+                return {"results": [], "truncated": False, "error": why}
             found = self.spark.sql(query)
             rows = (found if most is None else found.limit(most + 1)).collect()
             return {"results": [r.asDict(recursive=True) for r in rows[:most]], "truncated": most is not None and len(rows) > most, "error": None}
-        except (ParseException, AnalysisException) as e:
+        except (ParseException, AnalysisException, Py4JJavaError) as e:
             return {"results": [], "truncated": False, "error": str(e)}
 
     def fallback(self, question: str) -> list[dict]:
@@ -176,13 +204,15 @@ class Engine:
         return [r.asDict() for r in best.join(self.graph.nodes.select("uid", F.col("label").alias("type"), "title", "term", "text"), "uid").orderBy(F.desc("score"), "uid").collect()]
 
     def effective(self, number: str, as_of=None) -> dict | None:
-        row = resolve.effective_states(self.graph.section(number), self.graph.edges, as_of).first()
+        section = self.graph.section(number)
+        uids = [r["uid"] for r in section.select("uid").collect()]
+        row = resolve.effective_states(section, self.graph.edges.where(F.col("dst").isin(uids)), as_of).first()
         return row["state"].asDict(recursive=True) if row else None
 
     def stream(self, question: str) -> Iterator[dict]:
         """Events of one answer in order: status, query, sources, token..., done."""
         began = time.monotonic()
-        text = prepare(question)
+        text = self.prepare(question)
         intent = self.intent(text)
         yield {"event": "status", "data": {"stage": "classified", "intent": intent}}
         rows, plan, tried, source = [], None, 0, "graph"
@@ -196,7 +226,8 @@ class Engine:
             rows, source = self.fallback(text), "fulltext"
         n = re.search(r"section\s+(\d+)", text.lower())
         state = self.effective(n.group(1)) if intent == "amendment_query" and n and rows else None
-        sources = sources_of(rows)
+        labels = self.labels(rows)
+        sources = sources_of(rows, labels)
         yield {"event": "sources", "data": sources}
         lines = [f"{(s['excerpt'] or s['type']).strip()} [{s['uid']}]" for s in sources[:5]]
         if state and state["status"] != "original":
@@ -204,12 +235,17 @@ class Engine:
         answer = "\n".join(lines) if lines else str(rows[0]) if rows else NOT_FOUND
         for line in answer.split("\n"):
             yield {"event": "token", "data": line}
-        yield {"event": "done", "data": {"answer": answer, "query_text": str(plan) if plan else "", "sources": sources, "citations": citations_of(answer, sources), "effective_state": state, "metadata": {"intent": intent, "retry_count": tried, "source_type": source, "fallback_used": source == "fulltext", "latency_ms": (time.monotonic() - began) * 1000}}}
+        yield {"event": "done", "data": {"answer": answer, "query_text": str(plan) if plan else "", "sources": sources, "citations": citations_of(answer, sources), "effective_state": state, "path": path_of(rows, labels), "records": numbered(rows), "metadata": {"intent": intent, "retry_count": tried, "source_type": source, "fallback_used": source == "fulltext", "latency_ms": (time.monotonic() - began) * 1000}}}
 
-    def ask(self, question: str) -> dict:
+    def ask(self, question: str, seconds: float | None = TIMEOUT) -> dict:
+        """The answer, or a body with ``error``: its status (504 if time ran out, else 500) and message."""
         key = question.strip().lower()
         if key not in self.answers:
-            self.answers[key] = next(e["data"] for e in self.stream(question) if e["event"] == "done")
+            with limited(self.spark, seconds) as late:
+                try:
+                    self.answers[key] = next(e["data"] for e in self.stream(question) if e["event"] == "done")
+                except Exception as e:
+                    return {"error": {"status": 504 if late.is_set() else 500, "message": f"no answer within {seconds} seconds" if late.is_set() else str(e)}}
             while len(self.answers) > CACHED:
                 self.answers.popitem(last=False)
         return self.answers[key]

@@ -51,6 +51,10 @@ def _in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.expr("try_cast(number as int)").asc_nulls_last(), F.asc_nulls_last("number"), "uid")
 
 
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 @template
 def section_by_number(g: Graph, n: str) -> DataFrame:
     return g.section(n).select("uid", "title", "text")
@@ -111,8 +115,8 @@ def sections_changed(g: Graph, rel: str) -> DataFrame:
 
 
 @template
-def changed_by(g: Graph, amendment_uid: str, rel: str | None = None, limit: int = 25) -> DataFrame:
-    return _amendments(g, g.of("Section"), [rel] if rel else list(AMENDMENT_TYPES)).where(F.col("amendment_uid") == amendment_uid).select(F.col("section_uid").alias("uid"), "number", "title", "rel_type").orderBy("uid", "rel_type").limit(limit)
+def changed_by(g: Graph, amendment_uid: str, rel: str | None = None, limit: int | None = 25) -> DataFrame:
+    return _first(_amendments(g, g.of("Section"), [rel] if rel else list(AMENDMENT_TYPES)).where(F.col("amendment_uid") == amendment_uid).select(F.col("section_uid").alias("uid"), "number", "title", "rel_type").orderBy("uid", "rel_type"), limit)
 
 
 @template
@@ -124,8 +128,8 @@ def section_with_amendments(g: Graph, n: str) -> DataFrame:
 
 
 @template
-def amended_sections(g: Graph, limit: int = 25) -> DataFrame:
-    return _in_order(_amendments(g, g.of("Section"), list(AMENDMENT_TYPES)).select(F.col("section_uid").alias("uid"), "number", "title", "rel_type", "amendment_uid", "effective_date")).limit(limit)
+def amended_sections(g: Graph, limit: int | None = 25) -> DataFrame:
+    return _first(_in_order(_amendments(g, g.of("Section"), list(AMENDMENT_TYPES)).select(F.col("section_uid").alias("uid"), "number", "title", "rel_type", "amendment_uid", "effective_date")), limit)
 
 
 @template
@@ -218,9 +222,9 @@ def count_chapters(g: Graph) -> DataFrame:
 
 
 @template
-def chapters_with_counts(g: Graph, limit: int = 50) -> DataFrame:
+def chapters_with_counts(g: Graph, limit: int | None = 50) -> DataFrame:
     per = g.hop("HAS_SECTION").groupBy(F.col("src").alias("uid")).agg(F.count("dst").alias("n"))
-    return g.of("Chapter").select("uid", "number", "title").join(per, "uid", "left").select("uid", "number", "title", F.coalesce("n", F.lit(0).cast("long")).alias("sections")).orderBy(F.asc_nulls_last("number")).limit(limit)
+    return _first(g.of("Chapter").select("uid", "number", "title").join(per, "uid", "left").select("uid", "number", "title", F.coalesce("n", F.lit(0).cast("long")).alias("sections")).orderBy(F.asc_nulls_last("number")), limit)
 
 
 @template
@@ -229,13 +233,13 @@ def chapters(g: Graph) -> DataFrame:
 
 
 @template
-def sections_mentioning(g: Graph, words: str, limit: int = 10) -> DataFrame:
-    return _in_order(g.of("Section").where(F.col("text").contains(words) | F.col("title").contains(words)).select("uid", "number", "title", "text")).limit(limit)
+def sections_mentioning(g: Graph, words: str, limit: int | None = 10) -> DataFrame:
+    return _first(_in_order(g.of("Section").where(F.col("text").contains(words) | F.col("title").contains(words)).select("uid", "number", "title", "text")), limit)
 
 
 @template
-def rules_preview(g: Graph, limit: int = 25) -> DataFrame:
-    return _in_order(g.children(g.of("RuleSet"), "HAS_RULE", "Rule").select("uid", "number", "title", F.substring("text", 1, 150).alias("preview"))).limit(limit)
+def rules_preview(g: Graph, limit: int | None = 25) -> DataFrame:
+    return _first(_in_order(g.children(g.of("RuleSet"), "HAS_RULE", "Rule").select("uid", "number", "title", F.substring("text", 1, 150).alias("preview"))), limit)
 
 
 @template

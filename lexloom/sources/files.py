@@ -39,7 +39,3 @@ def write_edges(edges: DataFrame, path: str) -> None:
 
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)  # a row
-
-
-def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

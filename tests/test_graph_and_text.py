@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import graph, report, resolve, search
-from lexloom.plans.engine import Engine, NOT_FOUND, citations_of, prepare, sources_of
+from lexloom.plans.engine import Engine, NOT_FOUND, Plan, citations_of, numbered, path_of, sources_of
+from lexloom.plans.questions import prepared
 
 
 def one(spark, value, f):
@@ -133,12 +134,50 @@ def test_engine_sql_returns_all_rows(engine):
     assert not engine.sql(query, most=2500)["truncated"]
 
 
-def test_question_preparation():
-    assert prepare("What is CSR?") == "What is Corporate Social Responsibility (Section 135)?"
-    assert prepare("penelty for direktor") == "penalty for director"
-    assert prepare("धारा 135 क्या है") == "धारा 135 क्या है [English: section 135 what is]"
-    s = sources_of([{"s_uid": "sec-1", "text": "a"}, {"number": "7"}, {"term": "Big Word"}])
-    assert [x["uid"] for x in s] == ["sec-1", "sec-7", "def-big-word"] and citations_of("see [sec-7] [sec-9]", s)[0]["uid"] == "sec-7"
+def test_engine_guard_and_limits(spark, engine, tmp_path):
+    for query in (f"insert overwrite directory '{tmp_path}/x' using parquet select uid from nodes", "alter view nodes rename to other", "cache table nodes", "truncate table nodes", "update nodes set uid = ''", "add jar '/tmp/x.jar'", "call x()", f"select * from parquet.`{tmp_path}`", "select * from other", "select reflect('java.lang.System', 'getenv', 'HOME')", "select 1; select 2", "with n as (select * from other) select * from n", "select (select max(x) from other) as y from nodes"):
+        got = engine.sql(query)
+        assert got["error"] and not got["results"], query
+    assert not list(tmp_path.iterdir())
+    assert engine.sql("with n as (select uid from nodes) select count(*) as c from n join edges on uid = dst where uid <> 'call me'")["results"] == [{"c": 4}]
+    many = [("act-x", "Act", None, None, "Act", None, "", 0)] + [(f"ch-{i}", "Chapter", "act-x", f"{i:03d}", f"C{i}", None, "", i) for i in range(60)]
+    big = Engine(spark, spark.createDataFrame(many, NODES), engine.graph.edges)
+    assert len(big.run(Plan("chapters_with_counts"))) == 50 and len(big.run(Plan("sections_mentioning", {"words": "x"}))) == 0
+    Engine(spark, engine.graph.nodes, engine.graph.edges)
+
+
+def test_engine_time_limit_and_errors(engine, monkeypatch):
+    import time
+
+    monkeypatch.setattr(engine, "run", lambda plan: time.sleep(3) or engine.spark.range(10**12).selectExpr("sum(id * id % 7)").collect())
+    assert engine.ask("What is section 77?", seconds=2)["error"]["status"] == 504
+    monkeypatch.setattr(engine, "run", lambda plan: 1 / 0)
+    assert engine.ask("What is section 78?")["error"] == {"status": 500, "message": "division by zero"}
+
+
+def test_question_preparation(spark):
+    asked = ["What is CSR?", "penelty for direktor", "धारा 135 क्या है", "", "Sec. 5 of the Compny"]
+    got = {r["key"]: r["prepared"] for r in prepared(spark.createDataFrame(list(enumerate(asked)), "key int, text string")).collect()}
+    assert got == {0: "What is Corporate Social Responsibility (Section 135)?", 1: "penalty for director", 2: "धारा 135 क्या है [English: section 135 what is]", 3: "", 4: "section 5 of the Company"}
+    s = sources_of([{"s_uid": "sec-1", "text": "a"}, {"number": "7"}, {"term": "Big Word"}], {"sec-1": "Section"})
+    assert [(x["uid"], x["type"]) for x in s] == [("sec-1", "Section"), ("sec-7", "Node"), ("def-big-word", "Node")] and citations_of("see [sec-7] [sec-9]", s)[0]["uid"] == "sec-7"
+    rows = [{"uid": "sec-1", "number": "1", "label": "Section"}, {"title": "T"}, {"uid": "sec-1", "number": "1", "label": "Section"}]
+    assert path_of(rows) == "(Section:1) -> (Node:T)" and numbered([{"a": 1, "b": None}, {"c": "x"}]) == "[1] a: 1\n[2] c: x"
+
+
+def test_stored_index_agrees_with_a_scan(spark, tmp_path):
+    from lexloom.operators import search
+
+    nodes = spark.createDataFrame([(f"n{i}", " ".join(["the company"] * (i % 4) + ["board"] * (i % 3) + ["x"] * i), f"Title {i % 5}", None) for i in range(40)], "uid string, text string, title string, term string")
+    search.write_index(nodes, f"{tmp_path}/index", parts=8)
+    body = nodes.select("uid", F.concat_ws(" ", "text", "title", "term").alias("body"))
+    for words in (["company", "board"], ["title", "3"], ["absent"]):
+        assert search.bm25_of_index(spark, f"{tmp_path}/index", words).collect() == search.bm25(body, "uid", "body", words).collect()
+
+
+def test_devanagari_repairs_and_footnotes(spark):
+    assert one(spark, "कख कख और ((( यह )))", T.clean_devanagari) == "कख और (यह )" and one(spark, "(((", T.clean_devanagari) == "((("
+    assert one(spark, "Law text. Since then, see Gazette of India part II. More.", T.footnotes) == ["Since then, see Gazette of India part II."]
 
 
 def test_reports(spark, engine):
@@ -150,6 +189,54 @@ def test_reports(spark, engine):
     assert report.missing_sections(nodes, 3).count() == 3 and report.audit(nodes).first()["nodes"] == 6
 
 
+def test_audit_reports(spark, tmp_path):
+    rows = [("act-x", "Act", None, None, "A", None, "", 0), ("ch-I", "Chapter", "act-x", "I", "P", None, "", 1), ("sec-1", "Section", "ch-I", "1", "T", None, "The company shall " * 40, 2), ("sec-2", "Section", "ch-I", "2", "U", None, "short", 3), ("lost", "Clause", "nowhere", None, None, None, "x", 4), ("rule-1", "Rule", None, "1", "Titled", None, "The company shall file it " * 9, 5), ("rule-2", "Rule", None, "2", "", None, "", 6)]
+    nodes = spark.createDataFrame(rows, NODES)
+    amendments = spark.createDataFrame([("SUBSTITUTES", "section 1", "", "raw a"), ("OTHER", "section 2", "new", "raw b"), ("OMITS", "somewhere", "", "raw c")], "amendment_type string, target_section string, new_text string, raw_text string")
+    r = report.amendment_report(amendments).first()
+    assert (r["amendments"], r["valid_type_pct"], r["with_text"], r["warnings"]) == (3, 66.7, 1, ["no known type: raw b", "no target: raw c"])
+    assert tuple(report.rules_report(nodes).first()) == (2, 0, 50.0)
+    assert {x["uid"]: x["depth"] for x in report.depths(nodes).collect()} == {"act-x": 0, "ch-I": 1, "sec-1": 2, "sec-2": 2, "lost": None, "rule-1": 0, "rule-2": 0}
+    found = report.gaps(nodes, amendments, expected=3)
+    assert [tuple(x) for x in found.collect()] == [("CRITICAL", "sections are missing", 1), ("CRITICAL", "texts are garbled", 1), ("HIGH", "amendments have no new text", 2), ("HIGH", "rules are empty", 1), ("MEDIUM", "sections are short", 1)]
+    assert tuple(report.severity_counts(found).first()) == (2, 2, 1, 0)
+    assert [x["uid"] for x in report.worst(nodes, 3).collect()] == ["act-x", "ch-I", "rule-2"]
+    made = report.preprocess(nodes)
+    assert {x["label"]: x["nodes"] for x in report.preprocess_report(made).collect()} == {"Act": 1, "Chapter": 1, "Section": 2, "Clause": 1, "Rule": 2}
+    both = {x["label"]: x for x in report.compare_preprocess(nodes, made).collect()}
+    assert both["Section"]["characters_before"] > both["Section"]["characters_after"] and both["Rule"]["empty_before"] == 1
+    assert tuple(report.load_summary(nodes, spark.range(5), spark.range(3)).first()) == (7, 5, 3)
+    report.write_audit(report.audit_report(nodes, amendments, 3), str(tmp_path / "audit"))
+    assert spark.read.json(f"{tmp_path}/audit/gaps").count() == 5
+
+
+def test_evaluation_percentiles(spark):
+    runs = spark.createDataFrame([("a" if i % 2 else "b", "ok" if i != 3 else "late", i % 5 > 0, float(i)) for i in range(20)], "category string, status string, answer_ok boolean, latency_ms double")
+    got = {r["category"]: r for r in report.evaluation(runs).collect()}
+    want = sorted(float(i) for i in range(20) if i != 3)
+    assert got[None]["n"] == 20 and [got[None][f"p{q}_ms"] for q in (50, 90, 99)] == [want[int(19 * q / 100)] for q in (50, 90, 99)] and got["a"]["ok_rate"] == 0.9
+
+
+def test_edge_stream_and_untouched_buckets(spark, tmp_path):
+    import json
+
+    from lexloom.streaming import ingest
+
+    src = tmp_path / "in"
+    src.mkdir()
+    edge = lambda k, text, o: json.dumps({"src": f"a{k}", "dst": "s", "rel_type": "INSERTS", "new_text": text, "ord": o})
+    run = lambda: ingest.upsert_into(ingest.edge_stream(spark, str(src)), str(tmp_path / "t"), str(tmp_path / "c"), ingest.EDGE_KEYS).awaitTermination(120)
+    (src / "1.json").write_text("\n".join(edge(k, "one", 1) for k in range(30)))
+    run()
+    before = {p.name for p in (tmp_path / "t" / "v=0").glob("bucket=*")}
+    for k in (2, 3, 4):
+        (src / f"{k}.json").write_text(edge(7, f"v{k}", k))
+        run()
+    got = {r["src"]: r["new_text"] for r in ingest.current(spark, str(tmp_path / "t")).collect()}
+    assert got == {f"a{k}": "v4" if k == 7 else "one" for k in range(30)}
+    assert len(list((tmp_path / "t" / "v=3").glob("bucket=*"))) == 1 and {p.name for p in (tmp_path / "t" / "v=0").glob("bucket=*")} < before  # old versions of the hot bucket went
+
+
 def test_stream_upserts_are_idempotent(spark, tmp_path):
     import json
 
