@@ -281,9 +281,70 @@ def test_rules_are_learned(spark):
     assert sum(got[i] == bool(q) for i, _, q in rows) >= 398
 
 
+def test_growing_and_pruning_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        x = {f: rng.random() for f in op5_rules.RATIOS}
+        rows.append({"bad": (x["words"] > 0.6 and x["upper"] < 0.5) or rng.random() < 0.05, "prune": i % 3 == 0, **x})
+    df = spark.createDataFrame(rows, "bad boolean, prune boolean, " + ", ".join(f"{f} double" for f in op5_rules.RATIOS))
+    grid = {f: sorted(rng.random() for _ in range(6)) for f in op5_rules.RATIOS}
+    grow, prune = [r for r in rows if not r["prune"]], [r for r in rows if r["prune"]]
+    holds = lambda r, c: r[c[0]] >= c[2] if c[1] == ">=" else r[c[0]] < c[2]
+    rule = []
+    while len(rule) < op5_rules.MOST_CONDITIONS:
+        now = [r for r in grow if all(holds(r, c) for c in rule)]
+        p, n = sum(r["bad"] for r in now), sum(not r["bad"] for r in now)
+        best = (1e-9, None)
+        for f in op5_rules.RATIOS:
+            for x in grid[f]:
+                for sign in (">=", "<"):
+                    c = (f, sign, x)
+                    a, b = sum(r["bad"] for r in now if holds(r, c)), sum(not r["bad"] for r in now if holds(r, c))
+                    if a and p and n and (gain := a * (math.log2(a / (a + b)) - math.log2(p / (p + n)))) > best[0] + 1e-9:
+                        best = gain, c
+        if best[1] is None:
+            break
+        rule.append(best[1])
+    got = op5_rules._grow(df.where("not prune"), grid)
+    assert [tuple(c) for c in got] == rule and len(rule) > 1
+    worth = []
+    for k in range(len(rule)):
+        met = [r["bad"] for r in prune if all(holds(r, c) for c in rule[: k + 1])]
+        worth.append(((2 * sum(met) - len(met)) / max(len(met), 1), -k, sum(met), len(met) - sum(met)))
+    best = max(worth)
+    kept, p, n = op5_rules._prune(df.where("prune"), got)
+    assert (len(kept) - 1, p, n) == (-best[1], best[2], best[3])
+
+
 # ---- 6: languages ----
 
 
+def test_counts_and_decoding_by_brute_force(spark, docs):
+    rows = [(g, t) for _, t, g, *_ in docs[1] if g]
+    got = {(r["lang"], r["gram"]): r["n"] for r in op6_language.gram_counts(spark.createDataFrame(rows, "lang string, text string").repartition(3)).collect()}
+    want = Counter()
+    for lang, text in rows:
+        for gram in op6_language.grams(text).tolist() if text else ():
+            want[lang, gram] += 1
+    assert got == want
+    rng = np.random.default_rng(3)
+    for n in (2, 4, 7, 9):
+        code = op6_language.codewords(n)
+        if n <= 7:  # exhaustive: any two words differ in half of the bits, one more
+            assert {int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)} == {2 ** (n - 2)}
+        ratio, weight = rng.normal(size=(op6_language.BUCKETS, code.shape[1])), rng.random(code.shape[1]) + 0.5
+        model = op6_language.Model([f"l{k}" for k in range(n)], code, ratio.astype(np.float32), weight)
+        for text in ("some words here", "ñandú é", "x"):
+            grams = op6_language.grams(text)
+            margin = [sum(float(model.ratio[g, b]) for g in grams) / len(grams) * op6_language.STEEPNESS for b in range(code.shape[1])]
+            loss = [sum(w * math.log1p(math.exp(-c * m)) for w, c, m in zip(weight, word, margin, strict=True)) for word in code]
+            order = sorted(range(n), key=lambda k: loss[k])
+            lang, score, ambiguous = op6_language.decode(model, text)
+            assert lang == f"l{order[0]}" and ambiguous == (loss[order[1]] - loss[order[0]] < op6_language.GAP)
+            assert abs(score - 1 / sum(math.exp(loss[order[0]] - x) for x in loss)) < 1e-4
+
+
 def test_languages(docs, empty):
     df, rows = docs
     want = {r[0]: r[2] for r in rows}
@@ -377,6 +438,24 @@ def test_links_find_all_components(spark, monkeypatch, crowded):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_a_crowd_without_links_is_compared_by_pieces(spark, monkeypatch):
+    """Fingerprints that share a segment but not each other's neighbourhood, and a few pairs among them."""
+    from lexloom.llm.common import connected_components
+
+    monkeypatch.setattr(op7_simhash, "CROWDED", 20)
+    rng = random.Random(12)
+    prints = {rng.getrandbits(42) << 22 | 12345 for _ in range(300)}
+    for p in rng.sample(sorted(prints), 40):
+        x = p
+        for b in rng.sample(range(22, 64), rng.choice([2, 3, 4])):
+            x ^= 1 << b
+        prints.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    root = {r["node"]: r["root"] for r in connected_components(op7_simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"))).collect()}
+    want = components({p: signed(p) for p in prints})
+    assert {p: root.get(signed(p), signed(p)) for p in prints} == want and len(set(want.values())) < len(prints)
+
+
 def test_connected_components(spark):
     from lexloom.llm.common import connected_components
 
