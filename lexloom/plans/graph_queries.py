@@ -144,10 +144,11 @@ def anti_join_not_exists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
 
 
-@reg.query(f"with {EDGES} select p_partkey as uid from part where p_partkey not in (select dst from edges where rel_type = 'REFERS_TO' and dst is not null)")
+@reg.query("select p_partkey as uid from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 48 and l_partkey is not null)")
 def orphan_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that no large line leads to."""
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("uid"))
-    return graph.orphans(nodes, edges(spark, d).where("rel_type = 'REFERS_TO'"))
+    return graph.orphans(nodes, table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("dst")))
 
 
 @reg.query("select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")

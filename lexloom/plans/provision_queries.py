@@ -214,7 +214,7 @@ def parsed_amendments(spark: SparkSession, d: str) -> DataFrame:
     return _orders_as_lines(spark, d).select("path", "target_section", "amendment_type", "raw_text")
 
 
-@reg.query(f"select count(*) as amendments, 100.0::double as valid_type_pct, 0 as with_text, 0 as warned from ({_PARSED})")
+@reg.query(f"select count(*) as amendments, 100.0::double as valid_type_pct, cast(0 as bigint) as with_text, cast(0 as bigint) as warned from ({_PARSED})")
 def amendment_report(spark: SparkSession, d: str) -> DataFrame:
     return report.amendment_report(_orders_as_lines(spark, d)).drop("warnings")
 
@@ -225,7 +225,7 @@ def amendment_links(spark: SparkSession, d: str) -> DataFrame:
     return made.select("src", "dst", "rel_type", "effective_date")
 
 
-@reg.query(WITH_NODES + " select count(*) filter (where label = 'Rule') as rules, 0 as forms, 100.0::double as titled_pct from nodes")
+@reg.query(WITH_NODES + " select count(*) filter (where label = 'Rule') as rules, cast(0 as bigint) as forms, 100.0::double as titled_pct from nodes")
 def rules_report(spark: SparkSession, d: str) -> DataFrame:
     return report.rules_report(nodes_of(spark, d))
 

@@ -63,9 +63,13 @@ def quote_dash_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
 
 
-@reg.query("select page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\\.{5,}', '', 'g'), '_{5,}', '', 'g'), '-{5,}', '-', 'g'), '(\\(\\s*\\)\\s*){3,}', '', 'g'), '(\\*\\s*){4,}', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) as n from pages")
+_FORM = "concat(o_orderpriority, repeat('.', cast(o_orderkey % 9 as int)), repeat('( ) ', cast(o_orderkey % 5 as int)), repeat('-', cast(o_orderkey % 8 as int)), repeat('* ', cast(o_orderkey % 6 as int)), repeat('_', cast(o_orderkey % 7 as int)), '   end  ')"
+
+
+@reg.query(f"select o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FORM}, '\\.{{5,}}', '', 'g'), '_{{5,}}', '', 'g'), '-{{5,}}', '-', 'g'), '(\\(\\s*\\)\\s*){{3,}}', '', 'g'), '(\\*\\s*){{4,}}', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as text from orders")
 def form_template_strip(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.length(T.strip_form_templates(F.col("html"))).cast("long").alias("n"))
+    """Form lines phrased from orders, with runs of dots, brackets, dashes and blanks of all lengths."""
+    return table(spark, d, "orders").select("o_orderkey", T.strip_form_templates(F.expr(_FORM)).alias("text"))
 
 
 @reg.query(f"select doc_id, case when dev > 0.5 then 'hi' when dev > 0.1 then 'mixed' else 'en' end as script, round(nonascii, 6) as nonascii from (select doc_id, case when {NONSPACE} > 0 then cast(length(regexp_replace(text, '[^\\x{{0900}}-\\x{{097F}}]', '', 'g')) as double) / {NONSPACE} else 0 end as dev, case when {NONSPACE} > 0 then cast(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) as double) / {NONSPACE} else 0 end as nonascii from documents)")
@@ -212,14 +216,23 @@ def _any(patterns: list[str]) -> str:
     return q(T.any_of(patterns))
 
 
-@reg.query(f"select intent, count(*) as n from (select case when regexp_matches(text, '{_any(T.AMENDMENT)}') then 'amendment_query' when regexp_matches(text, '{q(T.SECTION_MENTION)}') and regexp_matches(text, '{_any(T.PENALTY)}') then 'penalty_query' when regexp_matches(text, '{_any(T.CROSS_REFERENCE)}') then 'cross_reference' when regexp_matches(text, '{_any(T.GENERAL_INFO)}') then 'general_info' else 'structured_lookup' end as intent from conversations) group by intent")
+_ASKED = "case o_orderkey % 6 when 0 then concat('How was section ', o_orderkey, ' amended?') when 1 then concat('What is the penalty under section ', o_orderkey) when 2 then concat('Which rules refer to section ', o_orderkey) when 3 then concat('How many sections has part ', o_custkey) when 4 then concat('Is there a penalty for order ', o_orderkey) else concat('Show clause ', o_orderkey) end"
+
+
+@reg.query(f"select o_orderpriority, intent, count(*) as n from (select o_orderpriority, case when regexp_matches(text, '{_any(T.AMENDMENT)}') then 'amendment_query' when regexp_matches(text, '{q(T.SECTION_MENTION)}') and regexp_matches(text, '{_any(T.PENALTY)}') then 'penalty_query' when regexp_matches(text, '{_any(T.CROSS_REFERENCE)}') then 'cross_reference' when regexp_matches(text, '{_any(T.GENERAL_INFO)}') then 'general_info' else 'structured_lookup' end as intent from (select o_orderpriority, {_ASKED} as text from orders)) group by o_orderpriority, intent")
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy(T.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
+    """Questions of all kinds, phrased from orders."""
+    asked = table(spark, d, "orders").select("o_orderpriority", T.intent(F.expr(_ASKED)).alias("intent"))
+    return asked.groupBy("o_orderpriority", "intent").agg(F.count("*").alias("n"))
+
+
+_ANSWER = "concat('See [sec-', conv_id, '] and [', role, '-', turn, '], again [sec-', conv_id, '], [', turn, '] and [Not this].')"
 
 
-@reg.query("select doc_id, unnest(list_distinct(regexp_extract_all(text, '\\[([a-z][\\w-]*)\\]', 1))) as citation from documents")
+@reg.query(f"select conv_id, turn, unnest(list_distinct(regexp_extract_all({_ANSWER}, '\\[([a-z][\\w-]*)\\]', 1))) as citation from conversations")
 def citation_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(T.citations(F.col("text"))).alias("citation"))
+    """Citations of answers phrased from conversations: repeated ones, and brackets that are none."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.citations(F.expr(_ANSWER))).alias("citation"))
 
 
 @reg.query(f"select lang, count(*) as nodes, count(*) filter (where {SCORE} >= 35) as usable, round(avg({SCORE}), 3) as mean_score from documents group by lang")
