@@ -15,7 +15,10 @@ sets. Copies of one bag are one print.
    the places left on both sides bound what they can share; pairs below 0.8
    there, or by their sizes, go. The others are verified.
 
-Pairs are verified on the whole texts, which a shuffle carries more cheaply than bags.
+Each print carries the counts of its elements in BINS parts of their range. What two
+bags share can't be more than the sum of the lesser counts, so pairs below 0.8 by
+that go too. The others are verified on the whole texts, which a shuffle carries more
+cheaply than bags.
 The order is that of the hashes, but the HOTTEST elements come last; which these
 are changes the work, not the result. In buckets of more than CROWDED prints only
 members outside the largest component are compared with the others.
@@ -44,6 +47,7 @@ from lexloom.llm.op7_simhash import simhash
 SHINGLE = 5
 #: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are compared by component.
 COMMON, HOTTEST, CROWDED = 16, 100_000, 48
+BINS = 64
 #: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts and writes at once; words it remembers.
 BROADCAST, REMEMBERED, COUNTED, EMITTED, WORDS = 1_000_000, 200_000, 2_000_000, 100_000, 300_000
 
@@ -90,6 +94,11 @@ def print_of(made: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(made.tobytes()) - (1 << 63)
 
 
+def bins_of(made: np.ndarray) -> bytes:
+    """Counts of a bag's elements in BINS parts of their range."""
+    return np.bincount((made >> np.int64(64 - BINS.bit_length() + 1)) + BINS // 2, minlength=BINS).astype(np.uint32).tobytes()
+
+
 @functools.lru_cache(256)
 def bag_of(text: str | None) -> np.ndarray:
     """The bag of a text, remembered as a text's pairs come together."""
@@ -97,7 +106,7 @@ def bag_of(text: str | None) -> np.ndarray:
 
 
 def prints_of(keyed: DataFrame) -> DataFrame:
-    """(row, text) -> row, fp (of the bag), n and sim; and, with null rows, elements of prefixes and how often a task met them.
+    """(row, text) -> row, fp (of the bag), n, sim and bins; and, with null rows, elements of prefixes and how often a task met them.
 
     Of the elements those that a task meets twice or more are told, so few of them
     leave it; copies that it remembers count once.
@@ -107,21 +116,23 @@ def prints_of(keyed: DataFrame) -> DataFrame:
         seen: set[int] = set()
         held, size = [], 0
 
-        def out(rows, fps, sizes, sims) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()) if isinstance(rows, list) else rows, pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64())], ["row", "fp", "n", "sim"])
+        def out(rows, fps, sizes, sims, bins) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()) if isinstance(rows, list) else rows, pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bins, pa.binary())], ["row", "fp", "n", "sim", "bins"])
 
         def met() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             keys, n = keys[n > 1], n[n > 1].astype(np.int64)
-            return out([None] * len(keys), keys, [None] * len(keys), n)
+            none = [None] * len(keys)
+            return out(none, keys, none, n, none)
 
         for batch in batches:
-            fps, sizes, sims = [], [], []
+            fps, sizes, sims, bins = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = hashes_of(text)
                 made = bag(hashes)
                 fp = print_of(made)
                 fps.append(fp)
+                bins.append(bins_of(made))
                 sizes.append(len(made))
                 sims.append(simhash(hashes))
                 if fp not in seen:
@@ -129,14 +140,14 @@ def prints_of(keyed: DataFrame) -> DataFrame:
                         seen.add(fp)
                     held.append(made[: len(made) // 5 + 1])
                     size += len(held[-1])
-            yield out(batch.column(0), fps, sizes, sims)
+            yield out(batch.column(0), fps, sizes, sims, bins)
             if size > COUNTED:
                 yield met()
                 held, size = [], 0
         if held:
             yield met()
 
-    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long")
+    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long, bins binary")
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -200,8 +211,14 @@ def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> D
             out.append(len(np.intersect1d(p, q, assume_unique=True)) * 9 >= (len(p) + len(q)) * 4)
         return pd.Series(out, dtype=bool)
 
-    row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"))
-    asked = materialize(pairs.distinct().join(row("a"), "a").join(row("b"), "b"), f"{name}-pairs")
+    @F.pandas_udf("boolean")
+    def could(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, q = (np.frombuffer(b"".join(z), np.uint32).reshape(-1, BINS).astype(np.int64) for z in (x, y))
+        return pd.Series(np.minimum(p, q).sum(axis=1) * 9 >= (p.sum(axis=1) + q.sum(axis=1)) * 4)
+
+    row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"), F.col("bins").alias(f"bins_{side}"))
+    met = pairs.distinct().join(row("a"), "a").join(row("b"), "b")
+    asked = materialize(met.where(could("bins_a", "bins_b")).drop("bins_a", "bins_b"), f"{name}-pairs")
     text = lambda side: keyed.join(_few(rows[side]), "row", "left_semi").select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}"))
     rows = {side: materialize(asked.select(F.col(f"row_{side}").alias("row")).distinct(), f"{name}-rows") for side in "ab"}
     both = asked.join(text("a"), "row_a").join(text("b"), "row_b")
@@ -215,7 +232,7 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
     """Edges (a, b) of fps whose components are those of all near copies; ``told`` as of ``prints_of``."""
     prints = told.where("row is not null")
     # 1. SimHash: every print and the head of its fingerprint's component
-    each = materialize(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("row").alias("row")), "copies-each")
+    each = materialize(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("row").alias("row"), F.min("bins").alias("bins")), "copies-each")
     joined = op7_simhash.components(each.select(F.col("sim").alias("fp")).distinct())
     of_root = materialize(each.join(joined, each.sim == joined.node, "left").select(each.fp, F.coalesce("root", "sim").alias("root")), "copies-of-root")
     heads = materialize(of_root.groupBy("root").agg(F.min("fp").alias("head")), "copies-heads")
