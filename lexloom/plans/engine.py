@@ -150,10 +150,14 @@ def limited(spark: SparkSession, seconds: float | None) -> Iterator[threading.Ev
 
 
 class Engine:
-    """Answers over one graph; nodes and edges are read many times and may be cached by the caller."""
+    """Answers over one graph; nodes and edges are read many times and may be cached by the caller.
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame):
-        self.spark, self.graph = spark, Graph(nodes, edges)
+    ``index`` is a folder of ``search.write_index`` over the nodes; without it the
+    fallback reads all texts for each question.
+    """
+
+    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, index: str | None = None):
+        self.spark, self.graph, self.index = spark, Graph(nodes, edges), index
         self.answers: OrderedDict[str, dict] = OrderedDict()
         nodes.createOrReplaceTempView("nodes")
         edges.createOrReplaceTempView("edges")
@@ -199,8 +203,11 @@ class Engine:
         words = re.findall(r"\w+", terms.lower())
         if not words:
             return []
-        text = F.concat_ws(" ", "title", "term", "text")
-        best = search.bm25(self.graph.nodes.select("uid", text.alias("body")), "uid", "body", words, search.LEAST_SCORE)
+        if self.index:
+            best = search.bm25_of_index(self.spark, self.index, words, search.LEAST_SCORE)
+        else:
+            text = F.concat_ws(" ", "text", "title", "term")
+            best = search.bm25(self.graph.nodes.select("uid", text.alias("body")), "uid", "body", words, search.LEAST_SCORE)
         return [r.asDict() for r in best.join(self.graph.nodes.select("uid", F.col("label").alias("type"), "title", "term", "text"), "uid").orderBy(F.desc("score"), "uid").collect()]
 
     def effective(self, number: str, as_of=None) -> dict | None:
@@ -254,5 +261,6 @@ class Engine:
         self.answers.clear()
 
     def schema(self) -> dict[str, list[dict]]:
-        """Counts by label and by edge type."""
-        return {"labels": [r.asDict() for r in templates.label_counts(self.graph).collect()], "relationships": [r.asDict() for r in templates.rel_counts(self.graph).collect()]}
+        """Counts by label and by edge type, and whether uids are unique in each label."""
+        unique = self.graph.nodes.groupBy("label").agg((F.count("*") == F.countDistinct("uid")).alias("unique_uid")).orderBy("label")
+        return {"constraints": [r.asDict() for r in unique.collect()], "labels": [r.asDict() for r in templates.label_counts(self.graph).collect()], "relationships": [r.asDict() for r in templates.rel_counts(self.graph).collect()]}

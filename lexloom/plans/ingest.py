@@ -1,4 +1,4 @@
-"""From raw element JSON to a graph: one lazily evaluated plan for all files."""
+"""From raw element JSON to a graph: nodes are parsed and written once, links are made from the written nodes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from lexloom.functions import text as T
 from lexloom.operators import link, parse, report
 from lexloom.operators.graph import assert_unique, last_property_wins, union_all, upsert_edges
 from lexloom.sources import files
+from lexloom.tables import materialize
 
 ACT, AMENDMENT, RULES = ("companies_act", "companies-act", "act_2013"), ("amendment",), ("rules",)
 
@@ -45,8 +46,8 @@ def rule_nodes(raw: DataFrame, title: str) -> DataFrame:
 def build(act: DataFrame, amendment: DataFrame, rules: DataFrame, act_uid: str = "act-companies-2013", amendment_uid: str = "amend-corporate-laws-2026", amendment_year: int = 2026, rules_title: str = "Companies Rules") -> Loaded:
     """Raw (source_pdf, json) frames of the three kinds -> nodes, edges, amendments."""
     changes = parse.parse_amendments(clean(parse.flatten_elements(amendment)), amendment_uid)
-    ruled = rule_nodes(rules, rules_title)
-    parts = [act_nodes(act, act_uid, "The Companies Act, 2013", 2013), ruled]
+    # links read the nodes several times, so they are written once
+    parts = [materialize(act_nodes(act, act_uid, "The Companies Act, 2013", 2013), "ingest-act"), materialize(rule_nodes(rules, rules_title), "ingest-rules")]
     root = act.sparkSession.range(1).select(F.lit(amendment_uid).alias("uid"), F.lit("AmendmentAct").alias("label"), F.lit("The Corporate Laws (Amendment) Act, 2026").alias("title"), F.lit("").alias("text"), F.lit(amendment_year).alias("year"))
     nodes = union_all([*parts, root])
     made, lost = link.amendment_edges(changes, amendment_year)
