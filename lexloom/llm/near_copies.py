@@ -20,8 +20,10 @@ bags share can't be more than the sum of the lesser counts, so pairs below 0.8 b
 that go too. The others are verified on the whole texts, which a shuffle carries more
 cheaply than bags.
 The order is that of the hashes, but the HOTTEST elements come last; which these
-are changes the work, not the result. In buckets of more than CROWDED prints only
-members outside the largest component are compared with the others.
+are changes the work, not the result. Buckets are contracted before pairs are made:
+each member is verified against the bucket's least and greatest print, and what they
+join has one root. In buckets of more than CROWDED prints only members outside the
+largest component are then compared with the others.
 
 Defined cases: null and wordless texts are copies of each other; rows with equal
 or null ids are documents of their own; an empty table gives an empty result.
@@ -46,7 +48,7 @@ from lexloom.llm.op7_simhash import simhash
 
 SHINGLE = 5
 #: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are compared by component.
-COMMON, HOTTEST, CROWDED = 16, 100_000, 48
+COMMON, HOTTEST, CROWDED = 3, 1_000_000, 48
 BINS = 64
 #: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts and writes at once; words it remembers.
 BROADCAST, REMEMBERED, COUNTED, EMITTED, WORDS = 1_000_000, 200_000, 2_000_000, 100_000, 300_000
@@ -95,8 +97,10 @@ def print_of(made: np.ndarray) -> int:
 
 
 def bins_of(made: np.ndarray) -> bytes:
-    """Counts of a bag's elements in BINS parts of their range."""
-    return np.bincount((made >> np.int64(64 - BINS.bit_length() + 1)) + BINS // 2, minlength=BINS).astype(np.uint32).tobytes()
+    """Counts of a bag's elements in BINS parts of their range; empty for bags that no 16 bits can surely count."""
+    if len(made) > 65535:
+        return b""
+    return np.bincount((made >> np.int64(64 - BINS.bit_length() + 1)) + BINS // 2, minlength=BINS).astype(np.uint16).tobytes()
 
 
 @functools.lru_cache(256)
@@ -213,8 +217,9 @@ def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> D
 
     @F.pandas_udf("boolean")
     def could(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(z), np.uint32).reshape(-1, BINS).astype(np.int64) for z in (x, y))
-        return pd.Series(np.minimum(p, q).sum(axis=1) * 9 >= (p.sum(axis=1) + q.sum(axis=1)) * 4)
+        open_ended = np.array([not s or not t for s, t in zip(x, y, strict=True)], bool)
+        p, q = (np.frombuffer(b"".join(s or bytes(2 * BINS) for s in z), np.uint16).reshape(-1, BINS).astype(np.int64) for z in (x, y))
+        return pd.Series(open_ended | (np.minimum(p, q).sum(axis=1) * 9 >= (p.sum(axis=1) + q.sum(axis=1)) * 4))
 
     row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"), F.col("bins").alias(f"bins_{side}"))
     met = pairs.distinct().join(row("a"), "a").join(row("b"), "b")
@@ -244,8 +249,23 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
     last = hottest(told.where("row is null"))
     index = prefixes(keyed, last).join(_few(close), F.col("fp") == F.col("b"), "left").select("key", "fp", "n", "at", F.coalesce("a", "fp").alias("root"))
     met = W.partitionBy("key")
-    shared = index.repartition("key").distinct().withColumn("c", F.count("*").over(met)).where(F.col("c") > 1).withColumn("apart", F.min("root").over(met) != F.max("root").over(met))
-    shared = materialize(shared.where("apart").drop("apart"), "copies-shared")
+
+    def apart(df: DataFrame) -> DataFrame:
+        """Buckets whose members have more than one root."""
+        two = df.withColumn("apart", F.min("root").over(met) != F.max("root").over(met))
+        return materialize(two.where("apart").drop("apart"), "copies-shared")
+
+    shared = apart(index.repartition("key").distinct().withColumn("c", F.count("*").over(met)).where(F.col("c") > 1))
+    # stars first: a bucket's members against its least and its greatest, one pair a member, so that groups shrink to a root
+    for end in (F.min, F.max):
+        pivot = shared.groupBy("key").agg(end(F.struct("fp", "n", "root")).alias("p"))
+        star = shared.join(pivot, "key").where("root <> p.root and least(n, p.n) * 5 >= greatest(n, p.n) * 4").select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b"))
+        before, more = (close, shared), similar(star, each, keyed, "copies-stars")
+        close = materialize(close.unionByName(more), "copies-close")
+        roots = materialize(connected_components(close, "copies-contracted"), "copies-roots")
+        shared = apart(shared.drop("root").join(_few(roots), F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "at", "c", F.coalesce("root", "fp").alias("root")))
+        for used in (*before, more, roots):
+            release(used)
     fits = "l.root <> r.root and least(l.n, r.n) * 5 >= greatest(l.n, r.n) * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4"
     same, pair = F.expr(f"l.key = r.key and {fits}"), [F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")]
     sparse, dense = shared.where(F.col("c") <= CROWDED), shared.where(F.col("c") > CROWDED)
