@@ -24,7 +24,13 @@ def matching(raw: DataFrame, keywords: Sequence[str]) -> DataFrame:
 
 
 def parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Typed scan of parsed JSON; a row of another shape is an error."""
+    """Typed scan of parsed JSON; a row of another shape is an error, and so is a missing file: it tells which ones there are."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        folder = where.getParent()
+        names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        raise FileNotFoundError(f"{path} is not there; available: {', '.join(n for n in names if n.endswith('.json')) or 'none'}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 

@@ -122,7 +122,14 @@ def test_engine_answers(engine):
     assert [e["event"] for e in engine.stream("How many sections are there?")][0] == "status"
     assert engine.sql("select count(*) as n from nodes")["results"] == [{"n": 6}]
     assert engine.sql("drop table nodes")["error"] and engine.sql("select nope from nodes")["error"]
-    assert engine.schema()["labels"][0]["count"] == 1
+    assert engine.schema()["labels"][0]["count"] == 1 and all(c["unique_uid"] for c in engine.schema()["constraints"])
+
+
+def test_engine_with_a_stored_index(spark, engine, tmp_path):
+    search.write_index(engine.graph.nodes, f"{tmp_path}/index", parts=4)
+    stored = Engine(spark, engine.graph.nodes, engine.graph.edges, f"{tmp_path}/index")
+    assert stored.fallback("thing responsibility") == engine.fallback("thing responsibility") != []
+    Engine(spark, engine.graph.nodes, engine.graph.edges)
 
 
 def test_engine_sql_returns_all_rows(engine):

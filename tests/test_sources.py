@@ -28,6 +28,12 @@ def test_missing_root_and_bad_rows_are_errors(spark, tmp_path):
         files.parsed(spark, f"{tmp_path}/b.json", "uid int").collect()
 
 
+def test_missing_parsed_file_tells_the_others(spark, tmp_path):
+    (tmp_path / "one.json").write_text("{}")
+    with pytest.raises(FileNotFoundError, match="available: one.json"):
+        files.parsed(spark, f"{tmp_path}/two.json", "uid int")
+
+
 def test_entry_without_the_training_folder(tmp_path):
     import shutil
     import subprocess
