@@ -20,6 +20,8 @@ after they were encoded whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -31,30 +33,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import materialize, small_batches
+from lexloom.llm.op9_bpe import BLANKS, Codec, default_path
 
 CAPACITY, END = 2048, 0
-#: Chunks of text between blanks whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 300_000, 48
+#: Chunks between blanks and words whose ids a worker remembers, and the longest of them in characters.
+REMEMBERED, LONGEST = 600_000, 48
 PIECE = "piece int, start long, length long, ids binary, task string, nth long"
 
 
+def plain(text: str) -> str:
+    """Composed, blanks alike, lower case letter by letter (so a final sigma is like any other)."""
+    return BLANKS.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+
+
 class Encoder(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+    """Chunk -> its ids as little-endian unsigned 32-bit integers.
 
     The file's words never hold a blank or a line end, so a text's ids are those of
-    its chunks between them, one after the other.
+    its chunks between them, one after the other. Operator 9 finds the words of a
+    chunk; the tokenizers library splits them.
     """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
-        self.own.no_truncation()
-        self.own.no_padding()
+        self.codec, self.model, self.words = Codec(path), Tokenizer.from_file(path).model, {}
+        self.bytes = [k.to_bytes(4, "little") for k in range(1 + max(self.codec.names))]
+
+    def of_word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            symbols = word if word.isascii() and word.isalpha() else "".join([self.codec.chars[b] for b in word.encode("utf-8", "replace")])
+            found = b"".join([self.bytes[t.id] for t in self.model.tokenize(symbols)])
+            if len(word) <= LONGEST and len(self.words) < REMEMBERED:
+                self.words[word] = found
+        return found
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.own.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
+        if "<" in chunk:  # a special token may be in it
+            ids = b"".join([self.bytes[k] for k in self.codec.encode(chunk)])
+        else:
+            low = chunk.lower() if chunk.isascii() else plain(chunk)
+            if low.isascii() and low[:-1].isalpha() and low[-1] > " ":  # a word, or a word and a sign or digit
+                ids = self.of_word(low) if low[-1].isalpha() else self.of_word(low[:-1]) + self.of_word(low[-1])
+            else:
+                ids = b"".join(map(self.of_word, self.codec.words.findall(low)))
         if len(chunk) <= LONGEST and len(self) < REMEMBERED:
             self[chunk] = ids
         return ids
@@ -63,10 +87,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for each file and worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -74,12 +98,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = Encoder(path), uuid.uuid4().hex, Counter()
+        own, task, seen = encoder(path), uuid.uuid4().hex, Counter()
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, ids, nth = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                whole = encoder.ids(text.as_py()) + last
+                whole = own.ids(text.as_py()) + last
                 for k, at in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[at : at + 4 * capacity]
                     n = len(part) // 4
