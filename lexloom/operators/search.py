@@ -1,4 +1,4 @@
-"""Full-text search and spelling: postings, BM25, fuzzy joins by deletion variants."""
+"""Full-text search and spelling: postings, BM25 by a scan, fuzzy joins by deletion variants."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.vocabulary import LEAST_LENGTH, LEGAL_VOCABULARY, MOST_EDITS
-from lexloom.tables import materialize
+from lexloom.tables import materialize, release
 
 K1, B, LEAST_SCORE, TOP = 1.2, 0.75, 0.3, 15
 
@@ -24,34 +24,6 @@ def postings(nodes: DataFrame, fields: Sequence[str] = ("text", "title", "term")
     return per.groupBy("term", "uid", "field").agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"))
 
 
-def write_index(nodes: DataFrame, path: str, fields: Sequence[str] = ("text", "title", "term"), parts: int = 64) -> None:
-    """Stores the postings of all nodes by hash of their term, and the sizes of the collection in one row."""
-    kept = nodes.select("uid", F.concat_ws(" ", *fields).alias("body"))
-    posted = postings(kept, ("body",)).drop("field").withColumn("part", _part(F.col("term"), parts))
-    posted.repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    lengths = kept.select(F.size(tokens(F.coalesce("body", F.lit("")))).alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{path}/sizes")
-
-
-def _part(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
-
-
-def bm25_of_index(spark: SparkSession, path: str, terms: Sequence[str], least: float | None = None, top: int = TOP, digits: int = 6) -> DataFrame:
-    """uid, score of the best nodes, from a stored index: only the parts that hold the terms are read."""
-    size = spark.read.parquet(f"{path}/sizes").first()
-    wanted = spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
-    parts = [r[0] for r in wanted.select(_part(F.col("term"), size["parts"])).distinct().collect()]
-    found = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts) & F.col("term").isin(sorted(set(terms))))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (size["avgdl"] or 1.0)))
-    ranked = found.join(F.broadcast(df), "term").groupBy("uid").agg(F.round(F.sum(idf * weight), digits).alias("score"))
-    if least is not None:
-        ranked = ranked.where(F.col("score") > least)
-    return ranked.orderBy(F.desc("score"), "uid").limit(top)
-
-
 def _equals(word: str):
     return lambda x: x == word
 
@@ -61,7 +33,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], least: floa
 
     Only the query's terms leave the scan: term counts are taken inside each
     row's token array, so no token is exploded or shuffled. The counts are written
-    once, so texts are split once; ``write_index`` stores postings for many queries.
+    once, so texts are split once; ``index.Index`` stores postings for many queries.
     """
     wanted = sorted(set(terms))
     split = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
@@ -77,7 +49,9 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], least: floa
     ranked = found.select(key, F.round(score, digits).alias("score"))
     if least is not None:
         ranked = ranked.where(F.col("score") > least)
-    return ranked.orderBy(F.desc("score"), key).limit(top)
+    best = docs.sparkSession.createDataFrame(ranked.orderBy(F.desc("score"), key).limit(top).collect(), ranked.schema)
+    release(counted)
+    return best
 
 
 def _without_one(words: Column) -> Column:

@@ -14,17 +14,19 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import resolve, search
+from lexloom.operators.index import Index
 from lexloom.plans import questions, templates
+from lexloom.plans.guard import Guard, Refused
 from lexloom.plans.templates import TEMPLATES, Graph
 
 NOT_FOUND = "I could not find relevant information in the indexed documents for this question."
-CACHED, MOST_ROWS, EXCERPT, TIMEOUT = 128, 25, 200, 90.0
+CACHED, MOST_ROWS, FETCHED, EXCERPT, TIMEOUT = 128, 25, 10_000, 200, 90.0
 
 @dataclass(frozen=True)
 class Plan:
@@ -111,23 +113,6 @@ def citations_of(answer: str, sources: list[dict]) -> list[dict]:
     return [known[u] for u in dict.fromkeys(re.findall(r"\[([a-z][\w-]*)\]", answer)) if u in known]
 
 
-def guarded(spark: SparkSession, query: str) -> str | None:
-    """Why a user's query is refused, or None.
-
-    It must parse as one query (no command does), name no relation but nodes,
-    edges and its own common tables, and call no Java method.
-    """
-    write, call = spark.range(1).select(T.is_write(F.lit(query)), T.is_call(F.lit(query))).first()
-    if write or call:
-        return "only read queries are allowed"
-    tree = spark._jsparkSession.sessionState().sqlParser().parseQuery(query).treeString()
-    own = {name for names in re.findall(r"CTE \[([^\]]*)\]", tree) for name in re.split(r",\s*", names.lower())}
-    other = {name.lower() for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)} - own - {"nodes", "edges"}
-    if other:
-        return f"unknown relations: {', '.join(sorted(other))}"
-    return "Java methods are not allowed" if re.search(r"(?i)'?\b(try_)?(reflect|java_method)\(", tree) else None
-
-
 @contextmanager
 def limited(spark: SparkSession, seconds: float | None) -> Iterator[threading.Event]:
     """Cancels the jobs started inside after so many seconds; the event tells whether that happened."""
@@ -152,15 +137,14 @@ def limited(spark: SparkSession, seconds: float | None) -> Iterator[threading.Ev
 class Engine:
     """Answers over one graph; nodes and edges are read many times and may be cached by the caller.
 
-    ``index`` is a folder of ``search.write_index`` over the nodes; without it the
-    fallback reads all texts for each question.
+    ``index`` is a folder of ``index.Index`` over the nodes, which also finds misspelt
+    words; without it the fallback reads all texts for each question.
     """
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, index: str | None = None):
         self.spark, self.graph, self.index = spark, Graph(nodes, edges), index
         self.answers: OrderedDict[str, dict] = OrderedDict()
-        nodes.createOrReplaceTempView("nodes")
-        edges.createOrReplaceTempView("edges")
+        self.guard = Guard(spark, {"nodes": nodes, "edges": edges})
 
     def intent(self, question: str) -> str:
         return self.spark.range(1).select(T.intent(F.lit(question))).first()[0]
@@ -183,32 +167,47 @@ class Engine:
             return {}
         return {r["uid"]: r["label"] for r in self.spark.createDataFrame([(u,) for u in uids], "uid string").select("uid", T.label_of_uid(F.col("uid")).alias("label")).collect()}
 
-    def sql(self, query: str, most: int | None = None) -> dict:
-        """Read-only SQL over the views nodes and edges; errors are data.
+    def read(self, query: str) -> DataFrame:
+        """The frame of a read query over the views nodes and edges, with nothing run yet; raises ``guard.Refused``."""
+        return self.guard.read(query)
+
+    def sql(self, query: str, most: int = FETCHED, seconds: float | None = TIMEOUT) -> dict:
+        """Rows of a read query as data, in its own order; errors are data too.
 
-        All rows come to the driver in the query's own order, unless the caller
-        sets ``most``; ``truncated`` tells whether there were more than that.
+        At most ``most`` rows come to the driver; ``truncated`` tells whether there
+        are more, which ``read`` has all.
         """
-        try:
-            if (why := guarded(self.spark, query)) is not None:
-                return {"results": [], "truncated": False, "error": why}
-            found = self.spark.sql(query)
-            rows = (found if most is None else found.limit(most + 1)).collect()
-            return {"results": [r.asDict(recursive=True) for r in rows[:most]], "truncated": most is not None and len(rows) > most, "error": None}
-        except (ParseException, AnalysisException, Py4JJavaError) as e:
-            return {"results": [], "truncated": False, "error": str(e)}
+        with limited(self.spark, seconds) as late:
+            try:
+                rows = self.read(query).limit(most + 1).collect()
+                return {"results": [r.asDict(recursive=True) for r in rows[:most]], "truncated": len(rows) > most, "error": None}
+            except (Refused, PySparkException, Py4JJavaError) as e:
+                return {"results": [], "truncated": False, "error": f"no result within {seconds} seconds" if late.is_set() else str(e)}
 
     def fallback(self, question: str) -> list[dict]:
-        terms = self.spark.range(1).select(T.search_terms(F.lit(question), fuzzy=False)).first()[0]
-        words = re.findall(r"\w+", terms.lower())
-        if not words:
-            return []
+        """The best nodes by full text, none if nothing matches or the index is not there.
+
+        With an index, words marked ``~`` stand for all terms near them, weighted by nearness.
+        """
+        terms = self.spark.range(1).select(T.search_terms(F.lit(question), fuzzy=self.index is not None)).first()[0].lower()
+        fuzzy = re.findall(r"(\w+)~", terms)
+        exact = re.findall(r"\w+", re.sub(r"\w+~", " ", terms))
         if self.index:
-            best = search.bm25_of_index(self.spark, self.index, words, search.LEAST_SCORE)
-        else:
+            found = Index(self.spark, self.index)
+            weights = found.near(fuzzy)
+            for word in exact:
+                weights[word] = weights.get(word, 0.0) + 1.0
+            best = found.search(weights, search.LEAST_SCORE).rows
+        elif exact:
             text = F.concat_ws(" ", "text", "title", "term")
-            best = search.bm25(self.graph.nodes.select("uid", text.alias("body")), "uid", "body", words, search.LEAST_SCORE)
-        return [r.asDict() for r in best.join(self.graph.nodes.select("uid", F.col("label").alias("type"), "title", "term", "text"), "uid").orderBy(F.desc("score"), "uid").collect()]
+            best = [(r["uid"], r["score"]) for r in search.bm25(self.graph.nodes.select("uid", text.alias("body")), "uid", "body", exact, search.LEAST_SCORE).collect()]
+        else:
+            best = []
+        if not best:
+            return []
+        scores = dict(best)
+        rows = self.graph.nodes.where(F.col("uid").isin(list(scores))).select("uid", F.col("label").alias("type"), "title", "term", "text").collect()
+        return sorted(({"uid": r["uid"], "score": scores[r["uid"]]} | {k: r[k] for k in ("type", "title", "term", "text")} for r in rows), key=lambda r: (-r["score"], r["uid"]))
 
     def effective(self, number: str, as_of=None) -> dict | None:
         section = self.graph.section(number)

@@ -9,6 +9,7 @@ them. The same SQL makes the nodes for the operators here and for their twins.
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,15 +66,27 @@ def _sql_references(column: str, patterns: list[tuple[str, str]]) -> str:
 _BY_LABEL = " ".join(f"when '{k}' then '{v}'" for k, v in CONTAINS.items())
 _BY_HAND = " ".join(f"when '{k}' then '{v}'" for k, v in parse.DERIVED_BY_HAND.items())
 _FIRST = f"coalesce(nullif(regexp_extract(coalesce(title, ''), '{parse.DERIVED}', 1), ''), nullif(regexp_extract(text, '{parse.DERIVED}', 1), ''))"
-#: Nodes, links and all edges as common tables of a twin.
-WITH_NODES = "with recursive nodes as (" + NODES.format(**{t: t for t in TABLES}) + ")"
-WITH = WITH_NODES + f""", amendments as ({AMENDMENTS.format(orders="orders")}),
-found as (select parent as src, uid as dst, case label {_BY_LABEL} end as rel_type from nodes where parent is not null union all {_sql_references("text", parse.REFERENCES)} union all {_sql_references("text", parse.DETECTED)}
-  union all select uid, 'sec-' || {_FIRST}, 'DERIVED_RULE' from nodes where label = 'Rule' and {_FIRST} is not null union all select uid, case uid {_BY_HAND} end, 'DERIVED_RULE' from nodes where label = 'Rule' and uid in ({", ".join(f"'{k}'" for k in parse.DERIVED_BY_HAND)})),
-links as (select distinct src, dst, rel_type from found where rel_type is not null and src in (select uid from nodes) and dst in (select uid from nodes)),
-edges as (select src, dst, rel_type, cast(null as varchar) as new_text, cast(null as varchar) as old_text, cast(null as date) as effective_date, 0 as seq from links union all select * from amendments),
-hits as (select e.*, s.number, s.title, a.title as amendment_title from edges e join nodes s on s.uid = e.dst and s.label = 'Section' join nodes a on a.uid = e.src and a.label = 'AmendmentAct' where rel_type in {AMENDMENT_TYPES}),
-subs as (select p.uid as top, c.* from edges e join nodes p on p.uid = e.src and p.label = 'Section' join nodes c on c.uid = e.dst and c.label = 'SubSection' where rel_type = 'HAS_SUBSECTION') """
+#: Nodes, links, all edges and what hangs on them as common tables of a twin, each evaluated once.
+WITH_NODES = "with recursive nodes as materialized (" + NODES.format(**{t: t for t in TABLES}) + ")"
+_COMMON = {
+    "amendments": f"{AMENDMENTS.format(orders='orders')}",
+    "found": f"""select parent as src, uid as dst, case label {_BY_LABEL} end as rel_type from nodes where parent is not null union all {_sql_references("text", parse.REFERENCES)} union all {_sql_references("text", parse.DETECTED)}
+  union all select uid, 'sec-' || {_FIRST}, 'DERIVED_RULE' from nodes where label = 'Rule' and {_FIRST} is not null union all select uid, case uid {_BY_HAND} end, 'DERIVED_RULE' from nodes where label = 'Rule' and uid in ({", ".join(f"'{k}'" for k in parse.DERIVED_BY_HAND)})""",
+    "links": "select distinct src, dst, rel_type from found where rel_type is not null and src in (select uid from nodes) and dst in (select uid from nodes)",
+    "edges": "select src, dst, rel_type, cast(null as varchar) as new_text, cast(null as varchar) as old_text, cast(null as date) as effective_date, 0 as seq from links union all select * from amendments",
+    "hits": f"select e.*, s.number, s.title, a.title as amendment_title from edges e join nodes s on s.uid = e.dst and s.label = 'Section' join nodes a on a.uid = e.src and a.label = 'AmendmentAct' where rel_type in {AMENDMENT_TYPES}",
+    "subs": "select p.uid as top, c.* from edges e join nodes p on p.uid = e.src and p.label = 'Section' join nodes c on c.uid = e.dst and c.label = 'SubSection' where rel_type = 'HAS_SUBSECTION'",
+}
+
+
+def twin(sql: str) -> str:
+    """The SQL after the common tables that it uses, directly or through others."""
+    used, text = [], sql
+    for name in reversed(_COMMON):
+        if re.search(rf"\b{name}\b", text):
+            used.append(name)
+            text += f" {_COMMON[name]}"
+    return WITH_NODES + "".join(f", {name} as materialized ({_COMMON[name]})" for name in reversed(used)) + " " + sql
 
 
 def _joined(array: str, *fields: str):
@@ -89,7 +102,7 @@ def _template(name: str, sql: str, shape=None, **slots):
         return shape(made) if shape else made
 
     query.__name__ = f"ask_{name}"
-    reg.query(WITH + sql)(query)
+    reg.query(twin(sql))(query)
 
 
 PENAL = "regexp_matches(text, 'penalty|liable|fine')"
@@ -101,7 +114,7 @@ _template("meaning_of", "select uid, term as name, text from nodes where label =
 _template("section_with_subsections", "select n.uid, n.title, n.text, coalesce((select string_agg(text, '|' order by ord) from subs where top = n.uid), '') as subsections from nodes n where n.label = 'Section' and n.number = '7'", lambda df: df.withColumn("subsections", _joined("subsections")), n="7")
 _template("all_definitions", "select uid, term, text from nodes where label = 'Definition'")
 _template("schedule_by_number", "select uid, title, text from nodes where label = 'Schedule' and number = '1'", n="1")
-_template("amendments_of", "select src as amendment_uid, amendment_title, rel_type, old_text, new_text, effective_date from hits where number = '7'", n="7")
+_template("amendments_of", "select src as amendment_uid, amendment_title, rel_type, old_text, new_text, effective_date from hits where number = '9'", n="9")
 _template("sections_changed", "select dst as uid, number, title, src as amendment_uid, new_text, effective_date from hits where rel_type = 'OMITS'", rel="OMITS")
 _template("changed_by", "select dst as uid, number, title, rel_type from hits where src = 'amend-5'", amendment_uid="amend-5", limit=None)
 _template("section_with_amendments", "select uid, title, text, (select string_agg(text, '|' order by text) from (select distinct text from subs where top = n.uid)) as subsections, (select string_agg(rel_type || ':' || new_text || ':' || old_text, '|' order by rel_type, new_text, old_text) from (select distinct rel_type, new_text, old_text from hits where dst = n.uid)) as amendments from nodes n where label = 'Section' and number = '7'", lambda df: df.withColumn("subsections", _joined("subsections")).withColumn("amendments", _joined("amendments", "type", "new_text", "old_text")), n="7")
@@ -127,7 +140,7 @@ _template("label_counts", "select label, count(*) as count from nodes group by l
 _template("rel_counts", "select rel_type, count(*) as count from edges group by rel_type")
 
 
-@reg.query(WITH + "select src, dst, rel_type from links")
+@reg.query(twin("select src, dst, rel_type from links"))
 def linked_edges(spark: SparkSession, d: str) -> DataFrame:
     return link.link(nodes_of(spark, d)).select("src", "dst", "rel_type")
 
@@ -156,12 +169,12 @@ def _states(spark: SparkSession, d: str, as_of: datetime.date | None) -> DataFra
     return found.select("uid", "state.current_text", "state.status", F.size("state.amendment_chain").cast("long").alias("changes"))
 
 
-@reg.query(WITH + _FOLD.format(when="current_date"))
+@reg.query(twin(_FOLD.format(when="current_date")))
 def effective_texts(spark: SparkSession, d: str) -> DataFrame:
     return _states(spark, d, None)
 
 
-@reg.query(WITH + _FOLD.format(when=f"date '{AS_OF}'"))
+@reg.query(twin(_FOLD.format(when=f"date '{AS_OF}'")))
 def effective_texts_as_of(spark: SparkSession, d: str) -> DataFrame:
     return _states(spark, d, AS_OF)
 
@@ -174,13 +187,13 @@ def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     return report.parse_report(nodes_of(spark, d)).withColumn("warnings", _joined("warnings"))
 
 
-@reg.query(WITH + "select 'orphans' as check, count(*) as n from nodes where label not in ('Act', 'RuleSet', 'AmendmentAct') and uid not in (select dst from edges) union all select 'broken_edges', count(*) from edges where dst not in (select uid from nodes) union all select 'repeated_uids', count(*) from (select label, uid from nodes group by label, uid having count(*) > 1)")
+@reg.query(twin("select 'orphans' as check, count(*) as n from nodes where label not in ('Act', 'RuleSet', 'AmendmentAct') and uid not in (select dst from edges) union all select 'broken_edges', count(*) from edges where dst not in (select uid from nodes) union all select 'repeated_uids', count(*) from (select label, uid from nodes group by label, uid having count(*) > 1)"))
 def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
     g = graph_of(spark, d)
     return report.integrity(g.nodes, g.edges)
 
 
-@reg.query(WITH + "select (select count(*) from nodes) as nodes, (select count(*) from found where rel_type is not null) as edges_attempted, (select count(*) from links) as edges_created")
+@reg.query(twin("select (select count(*) from nodes) as nodes, (select count(*) from found where rel_type is not null) as edges_attempted, (select count(*) from links) as edges_created"))
 def load_summary(spark: SparkSession, d: str) -> DataFrame:
     nodes = nodes_of(spark, d)
     refs = F.concat(parse.cross_references(F.col("text")), parse.detected_references(F.col("text")))
@@ -193,7 +206,7 @@ def depths_by_label(spark: SparkSession, d: str) -> DataFrame:
     return report.depths(nodes_of(spark, d)).groupBy("label", "depth").agg(F.count("*").alias("nodes"))
 
 
-@reg.query(WITH + "select severity, gap, found from (select 'CRITICAL' as severity, 'sections are missing' as gap, greatest(2000 - count(*) filter (where label = 'Section'), 0) as found from nodes union all select 'MEDIUM', 'sections are short', count(*) filter (where label = 'Section' and length(text) < 50) from nodes union all select 'LOW', 'texts are oversized', count(*) filter (where length(text) > 5000) from nodes union all select 'HIGH', 'rules are empty', count(*) filter (where label = 'Rule' and length(text) = 0) from nodes union all select 'HIGH', 'amendments have no new text', count(*) filter (where new_text = '') from amendments) where found > 0")
+@reg.query(twin("select severity, gap, found from (select 'CRITICAL' as severity, 'sections are missing' as gap, greatest(2000 - count(*) filter (where label = 'Section'), 0) as found from nodes union all select 'MEDIUM', 'sections are short', count(*) filter (where label = 'Section' and length(text) < 50) from nodes union all select 'LOW', 'texts are oversized', count(*) filter (where length(text) > 5000) from nodes union all select 'HIGH', 'rules are empty', count(*) filter (where label = 'Rule' and length(text) = 0) from nodes union all select 'HIGH', 'amendments have no new text', count(*) filter (where new_text = '') from amendments) where found > 0"))
 def audit_gaps(spark: SparkSession, d: str) -> DataFrame:
     return report.gaps(nodes_of(spark, d), amendments_of(spark, d), 2000)
 

@@ -62,7 +62,7 @@ def section_by_number(g: Graph, n: str) -> DataFrame:
 
 @template
 def definitions_like(g: Graph, term: str) -> DataFrame:
-    return g.of("Definition").where(F.col("term").contains(term)).select("uid", "term", "text")
+    return g.of("Definition").where(F.col("term").contains(term)).select("uid", "term", "text").orderBy("uid")
 
 
 @template
@@ -79,7 +79,7 @@ def subsections_of(g: Graph, n: str) -> DataFrame:
 def meaning_of(g: Graph, term: str) -> DataFrame:
     a = g.of("Definition").where(F.contains(F.lower("term"), F.lit(term.lower()))).select("uid", F.col("term").alias("name"), "text")
     b = g.children(g.section("2"), "HAS_SUBSECTION", "SubSection").where(F.contains(F.lower("text"), F.lit(term.lower()))).select("uid", F.col("number").alias("name"), "text")
-    return a.unionByName(b).distinct()
+    return a.unionByName(b).distinct().orderBy("uid", "name")
 
 
 @template
