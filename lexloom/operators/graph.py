@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.tables import materialize, release
+
 #: Nodes without a parent by design.
 ROOTS = ("Act", "RuleSet", "AmendmentAct")
 
@@ -28,6 +30,32 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("uid")), "uid", "left_anti")
 
 
+def walk(nodes: DataFrame) -> DataFrame:
+    """uid, root, depth, state of each node by its chain of parents; of repeated uids the least parent counts.
+
+    The state is ``reached``, ``lost`` (a parent is missing) or ``cycle`` (the chain
+    never ends); root and depth are null but for ``reached``. Pointers are doubled: a
+    round replaces what a node points to by what that points to, so chains of n nodes
+    take log2(n) rounds, and a round joins only nodes that are still on their way.
+    What none of a round reaches lies on or below a cycle.
+    """
+    own = nodes.groupBy("uid").agg(F.min("parent").alias("at"))
+    ended = F.col("at").isNull()
+    now = materialize(own.select("uid", "at", F.when(ended, F.lit(0)).otherwise(1).cast("long").alias("depth"), F.when(ended, F.col("uid")).alias("root"), F.when(ended, "reached").alias("state")), "walk")
+    while True:
+        on, there = now.where("state is null"), now.select(F.col("uid").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("root").alias("top"), F.col("state").alias("then"))
+        step = on.drop("root", "state").join(there, "at", "left")
+        state = F.when(F.col("more").isNull(), "lost").otherwise(F.col("then"))
+        moved = step.select("uid", F.when(state.isNull(), F.col("next")).alias("at"), F.when(F.coalesce(state != "lost", F.lit(True)), F.col("depth") + F.col("more")).alias("depth"), F.when(state == "reached", F.col("top")).alias("root"), state.alias("state"))
+        after = materialize(now.where("state is not null").unionByName(moved), "walk")
+        left = [df.where("state is null").count() for df in (now, after)]
+        release(now)
+        now = after
+        if left[0] == left[1]:
+            break
+    return now.select("uid", "root", F.when(F.col("state") == "reached", F.col("depth")).cast("int").alias("depth"), F.coalesce("state", F.lit("cycle")).alias("state"))
+
+
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators.graph import ROOTS, nearest_rank, union_all
+from lexloom.operators.graph import ROOTS, nearest_rank, walk
 from lexloom.operators.link import AMENDMENT_TYPES
-from lexloom.tables import materialize
 
 SECTIONS, MISSING, MOST_WARNINGS = 470, 30, 50
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -82,7 +81,10 @@ def amendment_report(amendments: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("amendment_type").isin(list(AMENDMENT_TYPES)), F.lit(False))
     target = F.coalesce(F.col("target_section").rlike("^section \\d+$"), F.lit(False))
     warning = F.when(~known, F.concat(F.lit("no known type: "), F.substring("raw_text", 1, 80))).when(~target, F.concat(F.lit("no target: "), F.substring("raw_text", 1, 80)))
-    return amendments.agg(F.count("*").alias("amendments"), F.round(F.avg(known.cast("double")) * 100, 1).alias("valid_type_pct"), F.count_if(F.coalesce("new_text", F.lit("")) != "").alias("with_text"), F.count(warning).alias("warned"), F.array_sort(F.slice(F.collect_set(warning), 1, MOST_WARNINGS)).alias("warnings"))
+    # the first by order: a limit, which each task applies before its rows go on
+    few = amendments.where(warning.isNotNull()).select(warning.alias("w")).distinct().orderBy("w").limit(MOST_WARNINGS)
+    first = few.agg(F.array_sort(F.collect_list("w")).alias("warnings"))
+    return amendments.agg(F.count("*").alias("amendments"), F.round(F.avg(known.cast("double")) * 100, 1).alias("valid_type_pct"), F.count_if(F.coalesce("new_text", F.lit("")) != "").alias("with_text"), F.count(warning).alias("warned")).crossJoin(first)  # one row each
 
 
 def rules_report(nodes: DataFrame) -> DataFrame:
@@ -113,18 +115,14 @@ def compare_preprocess(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "before").join(side(after, "after"), "label", "full_outer")
 
 
-def depths(nodes: DataFrame, most: int = 12) -> DataFrame:
-    """uid, label, depth below its root; nodes that no root reaches within ``most`` steps have no depth."""
-    flat = nodes.select("uid", "label", "parent").distinct()
-    level = materialize(flat.where("parent is null").select("uid", "label", F.lit(0).alias("depth")), "depths")
-    found = [level]
-    for depth in range(1, most + 1):
-        level = materialize(flat.join(level.select(F.col("uid").alias("parent")), "parent").select("uid", "label", F.lit(depth).alias("depth")), "depths")
-        if level.isEmpty():
-            break
-        found.append(level)
-    reached = union_all(found)
-    return reached.unionByName(flat.join(reached, "uid", "left_anti").select("uid", "label", F.lit(None).cast("int").alias("depth")))
+def depths(nodes: DataFrame) -> DataFrame:
+    """uid, label, depth below its root; nodes that no root reaches have no depth."""
+    return nodes.select("uid", "label").distinct().join(walk(nodes).select("uid", "depth"), "uid").select("uid", "label", "depth")
+
+
+def unrooted(nodes: DataFrame) -> DataFrame:
+    """uid, label and state (``lost`` or ``cycle``) of nodes that no root reaches."""
+    return nodes.select("uid", "label").distinct().join(walk(nodes).where("state <> 'reached'").select("uid", "state"), "uid")
 
 
 def worst(nodes: DataFrame, n: int = 10) -> DataFrame:
