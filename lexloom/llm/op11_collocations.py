@@ -24,6 +24,7 @@ rows count again; languages without phrases and empty tables give no rows.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -66,19 +67,27 @@ def in_order(df: DataFrame, order: list[Column], name: str, by: list[str]) -> Da
 
 @dataclass
 class Lexicon:
-    """The hottest words: ids by language and word, words and counts by id; ``whole``: no other word is frequent."""
+    """The hottest words by rank, as columns; what tasks look up is built where it is used. ``whole``: no other word is frequent."""
 
-    ids: dict[str, dict[bytes, int]]
-    words: list[tuple[str, str]]
+    langs: pa.ChunkedArray
+    spelt: pa.ChunkedArray
     f: np.ndarray
     whole: bool
 
     @classmethod
-    def of(cls, rows: list, whole: bool) -> Lexicon:
-        ids: dict[str, dict[bytes, int]] = {}
-        for k, r in enumerate(rows):
-            ids.setdefault(r["lang"], {b"\n": BREAK, b"": BLANK})[r["word"].encode()] = k
-        return cls(ids, [(r["lang"], r["word"]) for r in rows], np.array([r["f"] for r in rows], np.int64), whole)
+    def of(cls, rows: pa.Table, whole: bool) -> Lexicon:
+        rows = rows.sort_by("place")
+        return cls(rows.column("lang").dictionary_encode(), rows.column("word"), rows.column("f").to_numpy(), whole)
+
+    @functools.cached_property
+    def ids(self) -> dict[str, dict[bytes, int]]:
+        found: dict[str, dict[bytes, int]] = {}
+        for k, (lang, word) in enumerate(zip(self.langs.to_pylist(), self.spelt.cast(pa.binary()).to_pylist(), strict=True)):
+            found.setdefault(lang, {b"\n": BREAK, b"": BLANK})[word] = k
+        return found
+
+    def word(self, k: int) -> tuple[str, str]:
+        return self.langs[k].as_py(), self.spelt[k].as_py()
 
     def count(self, lang: str, word: str) -> int | None:
         k = self.ids.get(lang, {}).get(word.encode(), COLD)
@@ -87,25 +96,26 @@ class Lexicon:
 
 @dataclass
 class Pairs:
-    """The hottest pairs of held words: sorted codes with their ranks and counts, and codes by rank."""
+    """The hottest pairs of held words by rank: their codes and counts, and where each code is. ``whole``: no other such pair is frequent."""
 
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    ranks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    by_rank: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     whole: bool = True
 
-    @classmethod
-    def of(cls, by_rank: np.ndarray, counts: np.ndarray, whole: bool) -> Pairs:
-        order = np.argsort(by_rank)
-        return cls(by_rank[order], order.astype(np.int64), counts[order], by_rank, whole)
+    @functools.cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.codes)
+
+    @functools.cached_property
+    def ordered(self) -> np.ndarray:
+        return self.codes[self.order]
 
     def find(self, codes: np.ndarray) -> np.ndarray:
-        """Where each code is held, or -1."""
+        """The rank of each code, or -1."""
         if not len(self.codes):
             return np.full(len(codes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
+        at = np.minimum(np.searchsorted(self.ordered, codes), len(self.codes) - 1)
+        return np.where(self.ordered[at] == codes, self.order[at], -1)
 
 
 class Tiles:
@@ -173,7 +183,7 @@ def neighbour_counts(docs: DataFrame, lexicon: Lexicon, pairs: Pairs | None = No
                 known = found >= 0
                 may = (may | known)[:-1] & (may | known)[1:] & ~(known[:-1] & known[1:])
                 known = known[:-1] & known[1:]
-                left, right = np.where(found[:-1] >= 0, pairs.ranks[found[:-1]] if len(pairs.ranks) else -1, -1), at[2:]
+                left, right = found[:-1], at[2:]
             yield _batch(*tiles.add(left[known], right[known]))
             if not whole:
                 lang = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
@@ -232,8 +242,8 @@ def named(found: DataFrame, lexicon: Lexicon, pairs: Pairs, three: bool) -> Data
                     words = phrase.split(" ")
                 else:
                     first, last = code >> 32, code & 0xFFFFFFFF
-                    own = [*divmod(int(pairs.by_rank[first]), 1 << 32), last] if three else [first, last]
-                    lang, words = lexicon.words[last][0], [lexicon.words[k][1] for k in own]
+                    own = [*divmod(int(pairs.codes[first]), 1 << 32), last] if three else [first, last]
+                    lang, words = lexicon.word(last)[0], [lexicon.word(k)[1] for k in own]
                 parts = [(words[:k], words[k:]) for k in range(1, len(words))]
                 for column, value in zip(out, (lang, " ".join(words), [{"left": " ".join(x), "right": " ".join(y), "l": count(lang, x), "r": count(lang, y)} for x, y in parts]), strict=True):
                     column.append(value)
@@ -263,16 +273,15 @@ def mine(docs: DataFrame, top: int = TOP, words_held: int = WORDS, pairs_held: i
     counts = materialize(word_counts(docs), "phrases-words")
     totals = materialize(counts.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-totals")
     ranked = in_order(counts.where(F.col("f") >= LEAST), [F.desc("f"), F.asc("lang"), F.asc("word")], "phrases-ranked", [])
-    hot = ranked.where(F.col("place") < words_held).orderBy("place").collect()  # at most words_held rows
+    hot = ranked.where(F.col("place") < words_held).select("place", "lang", "word", "f").toArrow()  # at most words_held rows
     cold = ranked.where(F.col("place") >= words_held).select("lang", F.col("word").alias("part"), "f")
     lexicon = Lexicon.of(hot, cold.isEmpty())
     release(counts)
 
     found = neighbour_counts(docs, lexicon)
     ordered = in_order(found.where("code is not null").select("code", "n"), [F.desc("n"), F.asc("code")], "phrases-pairs", [])
-    held = ordered.where(F.col("place") < pairs_held).orderBy("place").toArrow()  # at most pairs_held rows
-    by_rank, number = held.column("code").to_numpy(), held.column("n").to_numpy()
-    pairs = Pairs.of(by_rank, number, ordered.where(F.col("place") >= pairs_held).isEmpty())
+    held = ordered.where(F.col("place") < pairs_held).select("place", "code", "n").toArrow().sort_by("place")  # at most pairs_held rows
+    pairs = Pairs(held.column("code").to_numpy(), held.column("n").to_numpy(), ordered.where(F.col("place") >= pairs_held).isEmpty())
     release(ordered)
     twos = named(found, lexicon, pairs, three=False)
     release(found)
