@@ -15,10 +15,12 @@ sets. Copies of one bag are one print.
    the places left on both sides bound what they can share; pairs below 0.8
    there, or by their sizes, go. The others are verified.
 
-Each print carries the counts of its elements in BINS parts of their range. What two
-bags share can't be more than the sum of the lesser counts, so pairs below 0.8 by
-that go too. The others are verified on the whole texts, which a shuffle carries more
-cheaply than bags.
+Each print carries a bitmap of its elements: a bit for each part of their range, set
+if an odd number of them fall there. Bits that differ between two bitmaps come from
+elements that only one bag has, so bags whose bitmaps differ in more than a ninth of
+their elements can't reach 0.8. The joins that form pairs test that, so texts that
+merely share a form (letters, licences) make no pairs. What is left is verified on the
+whole texts, which a shuffle carries more cheaply than bags.
 The order is that of the hashes, but the HOTTEST elements come last; which these
 are changes the work, not the result. Buckets are contracted before pairs are made:
 each member is verified against the bucket's least and greatest print, and what they
@@ -38,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ from lexloom.llm.op7_simhash import simhash
 SHINGLE = 5
 #: Elements in more prefixes than this can be put last, so many of them at most; larger buckets are compared by component.
 COMMON, HOTTEST, CROWDED = 3, 1_000_000, 48
-BINS = 64
+#: 64-bit words of a bitmap.
+BITMAP = 16
 #: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts and writes at once; words it remembers.
 BROADCAST, REMEMBERED, COUNTED, EMITTED, WORDS = 1_000_000, 200_000, 2_000_000, 100_000, 300_000
 
@@ -96,11 +99,15 @@ def print_of(made: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(made.tobytes()) - (1 << 63)
 
 
-def bins_of(made: np.ndarray) -> bytes:
-    """Counts of a bag's elements in BINS parts of their range; empty for bags that no 16 bits can surely count."""
-    if len(made) > 65535:
-        return b""
-    return np.bincount((made >> np.int64(64 - BINS.bit_length() + 1)) + BINS // 2, minlength=BINS).astype(np.uint16).tobytes()
+def bits_of(made: np.ndarray) -> np.ndarray:
+    """Parities of a bag's elements by their low bits."""
+    width = 64 * BITMAP
+    return np.packbits(np.bincount(made & np.int64(width - 1), minlength=width) & 1).view(np.int64)
+
+
+def could(x: str, y: str, n: str) -> Column:
+    """Whether bags with these bitmaps and so many elements together may reach 0.8."""
+    return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) * 9 <= {n}")
 
 
 @functools.lru_cache(256)
@@ -110,7 +117,7 @@ def bag_of(text: str | None) -> np.ndarray:
 
 
 def prints_of(keyed: DataFrame) -> DataFrame:
-    """(row, text) -> row, fp (of the bag), n, sim and bins; and, with null rows, elements of prefixes and how often a task met them.
+    """(row, text) -> row, fp (of the bag), n, sim and bits; and, with null rows, elements of prefixes and how often a task met them.
 
     Of the elements those that a task meets twice or more are told, so few of them
     leave it; copies that it remembers count once.
@@ -120,8 +127,8 @@ def prints_of(keyed: DataFrame) -> DataFrame:
         seen: set[int] = set()
         held, size = [], 0
 
-        def out(rows, fps, sizes, sims, bins) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()) if isinstance(rows, list) else rows, pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bins, pa.binary())], ["row", "fp", "n", "sim", "bins"])
+        def out(rows, fps, sizes, sims, bits) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()) if isinstance(rows, list) else rows, pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["row", "fp", "n", "sim", "bits"])
 
         def met() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -130,13 +137,13 @@ def prints_of(keyed: DataFrame) -> DataFrame:
             return out(none, keys, none, n, none)
 
         for batch in batches:
-            fps, sizes, sims, bins = [], [], [], []
+            fps, sizes, sims, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = hashes_of(text)
                 made = bag(hashes)
                 fp = print_of(made)
                 fps.append(fp)
-                bins.append(bins_of(made))
+                bits.append(bits_of(made))
                 sizes.append(len(made))
                 sims.append(simhash(hashes))
                 if fp not in seen:
@@ -144,14 +151,14 @@ def prints_of(keyed: DataFrame) -> DataFrame:
                         seen.add(fp)
                     held.append(made[: len(made) // 5 + 1])
                     size += len(held[-1])
-            yield out(batch.column(0), fps, sizes, sims, bins)
+            yield out(batch.column(0), fps, sizes, sims, bits)
             if size > COUNTED:
                 yield met()
                 held, size = [], 0
         if held:
             yield met()
 
-    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long, bins binary")
+    return keyed.select("row", "text").mapInArrow(run, "row long, fp long, n int, sim long, bits array<bigint>")
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,15 +222,9 @@ def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> D
             out.append(len(np.intersect1d(p, q, assume_unique=True)) * 9 >= (len(p) + len(q)) * 4)
         return pd.Series(out, dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def could(x: pd.Series, y: pd.Series) -> pd.Series:
-        open_ended = np.array([not s or not t for s, t in zip(x, y, strict=True)], bool)
-        p, q = (np.frombuffer(b"".join(s or bytes(2 * BINS) for s in z), np.uint16).reshape(-1, BINS).astype(np.int64) for z in (x, y))
-        return pd.Series(open_ended | (np.minimum(p, q).sum(axis=1) * 9 >= (p.sum(axis=1) + q.sum(axis=1)) * 4))
-
-    row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"), F.col("bins").alias(f"bins_{side}"))
+    row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
     met = pairs.distinct().join(row("a"), "a").join(row("b"), "b")
-    asked = materialize(met.where(could("bins_a", "bins_b")).drop("bins_a", "bins_b"), f"{name}-pairs")
+    asked = materialize(met.where(could("bits_a", "bits_b", "(n_a + n_b)")).select("a", "b", "row_a", "row_b"), f"{name}-pairs")
     text = lambda side: keyed.join(_few(rows[side]), "row", "left_semi").select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}"))
     rows = {side: materialize(asked.select(F.col(f"row_{side}").alias("row")).distinct(), f"{name}-rows") for side in "ab"}
     both = asked.join(text("a"), "row_a").join(text("b"), "row_b")
@@ -237,7 +238,7 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
     """Edges (a, b) of fps whose components are those of all near copies; ``told`` as of ``prints_of``."""
     prints = told.where("row is not null")
     # 1. SimHash: every print and the head of its fingerprint's component
-    each = materialize(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("row").alias("row"), F.min("bins").alias("bins")), "copies-each")
+    each = materialize(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")), "copies-each")
     joined = op7_simhash.components(each.select(F.col("sim").alias("fp")).distinct())
     of_root = materialize(each.join(joined, each.sim == joined.node, "left").select(each.fp, F.coalesce("root", "sim").alias("root")), "copies-of-root")
     heads = materialize(of_root.groupBy("root").agg(F.min("fp").alias("head")), "copies-heads")
@@ -267,7 +268,10 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
         for used in (*before, more, roots):
             release(used)
     fits = "l.root <> r.root and least(l.n, r.n) * 5 >= greatest(l.n, r.n) * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4"
-    same, pair = F.expr(f"l.key = r.key and {fits}"), [F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")]
+    # bitmaps join once for each member of a bucket, so that pairs which they rule out are never formed
+    bare, shared = shared, materialize(shared.join(each.select("fp", "bits"), "fp"), "copies-members")
+    release(bare)
+    same, pair = F.expr(f"l.key = r.key and {fits}") & could("l.bits", "r.bits", "(l.n + r.n)"), [F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")]
     sparse, dense = shared.where(F.col("c") <= CROWDED), shared.where(F.col("c") > CROWDED)
     pairs = sparse.alias("l").join(sparse.alias("r"), same & F.expr("l.fp < r.fp")).select(*pair)
     largest = dense.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
@@ -308,4 +312,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = rooted(keyed.select("row", "doc.doc_id", "doc.text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stays = materialize(found.groupBy("root").agg(first.alias("first")).select("first.row"), "copies-stay")
+    release(found)
     return keyed.join(_few(stays), "row", "left_semi").select("doc.*")

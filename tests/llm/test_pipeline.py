@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from lexloom.llm import near_copies, op9_bpe
 from tests.llm.test_operators import base_of, leaks, made_docs, words
@@ -129,3 +131,29 @@ def test_near_duplicates_at_similarity(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "CROWDED", crowded)
         monkeypatch.setattr(near_copies, "COMMON", common_at)
         assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_bitmaps_bound_what_bags_share():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 400, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.3, 0.8, 0.95, 1.0])], rng.integers(-(1 << 63), 1 << 63, rng.integers(0, n))]))
+            bits = int(np.bitwise_count((near_copies.bits_of(a) ^ near_copies.bits_of(b)).view(np.uint64)).sum())
+            assert bits <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+
+
+def test_texts_of_one_form_make_few_pairs(spark, monkeypatch):
+    """300 texts of 400 words, 8 of them replaced: similarity about 0.7, no link."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(400)], []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(400), 8):
+            copy[at] = word()
+        rows.append((i, " ".join(copy), None, None, 0))
+    asked, own = [], near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, *rest: asked.append(pairs.distinct().count()) or own(pairs, *rest))
+    assert pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").count() == 300
+    assert sum(asked) < 20 * 300
