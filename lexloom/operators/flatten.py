@@ -23,15 +23,19 @@ def _level(parents: DataFrame, opened: str) -> DataFrame:
 
 
 def flatten_elements(raw: DataFrame) -> DataFrame:
-    """(source_pdf, json) -> source_pdf, path, type, content, page in document order.
+    """(source_pdf, json), or (source_pdf, at, element) of ``sources.elements`` -> source_pdf, path, type, content, page in document order.
 
     ``json`` must have a root array ``kids``. Headings, paragraphs and captions
     are kept; page headers and footers go; list items, table rows and cells are
     opened, an element's own text before its parts. Levels follow each other until
     nothing is left to open, so neither depth nor number of elements is limited.
     """
-    roots = raw.select("source_pdf", F.lit("").alias("path"), F.parse_json("json").alias("v"))
-    level = materialize(_level(roots, f"coalesce({KIDS}, raise_error('root has no kids'))"), "elements")
+    if "element" in raw.columns:
+        top = raw.select("source_pdf", F.concat(F.lpad(F.col("at").cast("string"), 12, "0"), F.lit(".")).alias("path"), F.parse_json("element").alias("v"))
+        level = materialize(top.select("source_pdf", "path", F.expr("variant_get(v, '$.type', 'string')").alias("type"), "v"), "elements")
+    else:
+        roots = raw.select("source_pdf", F.lit("").alias("path"), F.parse_json("json").alias("v"))
+        level = materialize(_level(roots, f"coalesce({KIDS}, raise_error('root has no kids'))"), "elements")
     levels, cases = [level], " ".join(f"when '{t}' then coalesce(variant_get(v, '{p}', 'array<variant>'), {KIDS})" for t, p in OPENED.items())
     while not level.isEmpty():
         inner = level.where(~F.col("type").isin(*TEXTS, *MARGINS))

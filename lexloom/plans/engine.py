@@ -141,8 +141,8 @@ class Engine:
     words; without it the fallback reads all texts for each question.
     """
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, index: str | None = None):
-        self.spark, self.graph, self.index = spark, Graph(nodes, edges), index
+    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, index: str | None = None, edges_by_dst: DataFrame | None = None):
+        self.spark, self.graph, self.index = spark, Graph(nodes, edges, edges_by_dst), index
         self.answers: OrderedDict[str, dict] = OrderedDict()
         self.guard = Guard(spark, {"nodes": nodes, "edges": edges})
 

@@ -25,8 +25,11 @@ def template(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 @dataclass(frozen=True)
 class Graph:
+    """Nodes and edges; ``edges_by_dst`` are the same edges, laid out for joins on their targets (see ``stored``)."""
+
     nodes: DataFrame
     edges: DataFrame
+    edges_by_dst: DataFrame | None = None
 
     def of(self, label: str) -> DataFrame:
         return self.nodes.where(F.col("label") == label)
@@ -34,9 +37,11 @@ class Graph:
     def section(self, n: str) -> DataFrame:
         return self.of("Section").where(F.col("number") == str(n))
 
-    def hop(self, rel: str | list[str], src: str = "src", dst: str = "dst") -> DataFrame:
+    def hop(self, rel: str | list[str], src: str = "src", dst: str = "dst", by: str = "src") -> DataFrame:
+        """Edges of some types; ``by`` is the end that they are joined on first."""
         rels = [rel] if isinstance(rel, str) else rel
-        return self.edges.where(F.col("rel_type").isin(rels)).select(F.col("src").alias(src), F.col("dst").alias(dst), "rel_type", "new_text", "old_text", "effective_date", "seq")
+        edges = self.edges_by_dst if by == "dst" and self.edges_by_dst is not None else self.edges
+        return edges.where(F.col("rel_type").isin(rels)).select(F.col("src").alias(src), F.col("dst").alias(dst), "rel_type", "new_text", "old_text", "effective_date", "seq")
 
     def children(self, parents: DataFrame, rel: str, label: str) -> DataFrame:
         """parent uid and the child's columns."""
@@ -101,7 +106,7 @@ def schedule_by_number(g: Graph, n: str) -> DataFrame:
 def _amendments(g: Graph, sections: DataFrame, rels: list[str]) -> DataFrame:
     s = sections.select(F.col("uid").alias("section_uid"), "number", "title")
     by = g.of("AmendmentAct").select(F.col("uid").alias("amendment_uid"), F.col("title").alias("amendment_title"))
-    return g.hop(rels, "amendment_uid", "section_uid").join(s, "section_uid").join(by, "amendment_uid")
+    return g.hop(rels, "amendment_uid", "section_uid", by="dst").join(s, "section_uid").join(by, "amendment_uid")
 
 
 @template
@@ -141,7 +146,7 @@ def amendments_in_chapter(g: Graph, chapter: str) -> DataFrame:
 @template
 def references_to(g: Graph, n: str, rels: tuple[str, ...] = ("REFERS_TO",)) -> DataFrame:
     t = g.section(n).select(F.col("uid").alias("dst"))
-    return g.hop(list(rels)).join(t, "dst", "left_semi").join(g.nodes.select(F.col("uid").alias("src"), "label", "text"), "src").select(F.col("src").alias("uid"), F.col("label").alias("type"), "rel_type", "text").orderBy("uid", "rel_type")
+    return g.hop(list(rels), by="dst").join(t, "dst", "left_semi").join(g.nodes.select(F.col("uid").alias("src"), "label", "text"), "src").select(F.col("src").alias("uid"), F.col("label").alias("type"), "rel_type", "text").orderBy("uid", "rel_type")
 
 
 @template
@@ -161,14 +166,14 @@ def notwithstanding_pairs(g: Graph) -> DataFrame:
 @template
 def rules_for(g: Graph, n: str, rels: tuple[str, ...] = ("REFERS_TO", "PRESCRIBES_FOR", "DERIVED_RULE")) -> DataFrame:
     t = g.section(n).select(F.col("uid").alias("dst"))
-    return g.hop(list(rels)).join(t, "dst", "left_semi").join(g.of("Rule").select(F.col("uid").alias("src"), "number", "title", "text"), "src").select(F.col("src").alias("uid"), "number", "title", "text", "rel_type").orderBy("uid", "rel_type")
+    return g.hop(list(rels), by="dst").join(t, "dst", "left_semi").join(g.of("Rule").select(F.col("uid").alias("src"), "number", "title", "text"), "src").select(F.col("src").alias("uid"), "number", "title", "text", "rel_type").orderBy("uid", "rel_type")
 
 
 @template
 def chapters_without_rules(g: Graph) -> DataFrame:
     ruled = g.hop(["REFERS_TO", "PRESCRIBES_FOR", "DERIVED_RULE"]).join(g.of("Rule").select(F.col("uid").alias("src")), "src", "left_semi")
     bare = g.of("Section").join(ruled.select(F.col("dst").alias("uid")), "uid", "left_anti").select("uid")
-    per = g.hop("HAS_SECTION").join(bare.withColumnRenamed("uid", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("uid")).agg(F.count("*").alias("sections"))
+    per = g.hop("HAS_SECTION", by="dst").join(bare.withColumnRenamed("uid", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("uid")).agg(F.count("*").alias("sections"))
     return g.of("Chapter").select("uid", "number", "title").join(per, "uid").orderBy(F.asc_nulls_last("number"))
 
 
