@@ -56,6 +56,24 @@ def walk(nodes: DataFrame) -> DataFrame:
     return now.select("uid", "root", F.when(F.col("state") == "reached", F.col("depth")).cast("int").alias("depth"), F.coalesce("state", F.lit("cycle")).alias("state"))
 
 
+def ancestor_headers(nodes: DataFrame, header: Column) -> DataFrame:
+    """uid, path: headers of its ancestors, outermost first, by doubled pointers as in ``walk``.
+
+    A missing parent ends the path; nodes on or below a cycle have none (null).
+    """
+    now = materialize(nodes.groupBy("uid").agg(F.min("parent").alias("at"), F.min(header).alias("header")).withColumn("path", F.array().cast("array<string>")), "paths")
+    while True:
+        on, there = now.where("at is not null"), now.select(F.col("uid").alias("at"), F.col("at").alias("next"), F.col("path").alias("above"), F.array_compact(F.array("header")).alias("own"))
+        moved = on.join(there, "at", "left").select("uid", F.col("next").alias("at"), "header", F.when(F.col("own").isNull(), F.col("path")).otherwise(F.concat("above", "own", "path")).alias("path"))
+        after = materialize(now.where("at is null").unionByName(moved), "paths")
+        left = [df.where("at is not null").count() for df in (now, after)]
+        release(now)
+        now = after
+        if left[0] == left[1]:
+            break
+    return now.select("uid", F.when(F.col("at").isNull(), F.col("path")).alias("path"))
+
+
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators.graph import ROOTS, nearest_rank, walk
+from lexloom.operators.graph import ROOTS, ancestor_headers, nearest_rank, walk
 from lexloom.operators.link import AMENDMENT_TYPES
 
 SECTIONS, MISSING, MOST_WARNINGS = 470, 30, 50
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
+KINDS = ("Chapter", "Section", "SubSection", "Clause", "SubClause", "Proviso", "Explanation", "Definition", "Rule", "Form")
+
+
+def kind_counts() -> list[Column]:
+    """Nodes of each kind, as aggregates: for a report, or to be observed while nodes are written."""
+    return [F.count_if(F.col("label") == k).alias(k) for k in KINDS]
+
+
 def parse_report(nodes: DataFrame, expected: int = SECTIONS) -> DataFrame:
     """One row: nodes of each kind, coverage of sections and warnings of the ingest."""
-    kinds = ("Chapter", "Section", "SubSection", "Clause", "SubClause", "Proviso", "Explanation", "Definition", "Rule", "Form")
-    counts = nodes.agg(*[F.count_if(F.col("label") == k).alias(k) for k in kinds])
+    return report_of(nodes.agg(*kind_counts()), expected)
+
+
+def report_of(counts: DataFrame, expected: int = SECTIONS) -> DataFrame:
+    """The report from a row of ``kind_counts``."""
     coverage = F.least(F.round(F.col("Section") / expected * 100, 1), F.lit(100.0))
     checks = [(F.col("Section") < 400, "few sections"), (F.col("Definition") < 50, "few definitions"), (F.col("Proviso") == 0, "no provisos"), (F.col("Rule") < 30, "few rules")]
     return counts.withColumn("coverage_pct", coverage).withColumn("warnings", F.array_compact(F.array(*[F.when(c, w) for c, w in checks])))
@@ -38,6 +49,22 @@ def preprocess(nodes: DataFrame) -> DataFrame:
     return out.withColumn("llm_text", llm).withColumn("quality_score", F.bround("quality.score", 1))
 
 
+def in_context(nodes: DataFrame) -> DataFrame:
+    """Preprocessed nodes whose text for language models says where they stand.
+
+    A section's text begins with its chapter, a rule's with its set of rules; nodes
+    that have no text of their own for models get their text under the path of their
+    ancestors.
+    """
+    up = nodes.select(F.col("uid").alias("parent"), F.col("label").alias("_label"), F.col("number").alias("_number"), F.col("title").alias("_title")).dropDuplicates(["parent"])
+    chapter, rules = (F.col("label") == "Section") & (F.col("_label") == "Chapter"), (F.col("label") == "Rule") & (F.col("_label") == "RuleSet") & (F.coalesce("_title", F.lit("")) != "")
+    headed = nodes.join(up, "parent", "left").withColumn("llm_text", F.when(chapter, F.concat(F.lit("Chapter "), "_number", F.lit(" - "), F.coalesce("_title", F.lit("")), F.lit(" > "), "llm_text")).when(rules, F.concat("_title", F.lit(" > "), "llm_text")).otherwise(F.col("llm_text")))
+    name = F.concat(F.col("label"), F.when(F.coalesce("number", F.lit("")) != "", F.concat(F.lit(" "), "number")).otherwise(""))
+    paths = ancestor_headers(nodes, name)
+    text = F.coalesce("llm_text", F.when((F.size("path") > 0) & (F.coalesce("text", F.lit("")) != ""), F.concat(F.array_join("path", " > "), F.lit("\n\n"), "text")))
+    return headed.join(paths, "uid", "left").withColumn("llm_text", text).select(nodes.columns)
+
+
 def usable_rules(nodes: DataFrame, most: int = 500) -> DataFrame:
     """drop_reason of rules: garbled, empty, unusable, or a number beyond any real one."""
     n = F.expr("try_cast(regexp_extract(number, '^([0-9]+)', 1) as int)")

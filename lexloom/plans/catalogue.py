@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexloom.plans import graph_queries, index_queries, provision_queries, text_queries, time_queries
+from lexloom.plans import check_queries, graph_queries, index_queries, provision_queries, text_queries, time_queries
 from lexloom.plans.registry import Query
 
-_REGISTRIES = (graph_queries.reg, text_queries.reg, provision_queries.reg, index_queries.reg, time_queries.reg)
+_REGISTRIES = (graph_queries.reg, text_queries.reg, provision_queries.reg, index_queries.reg, time_queries.reg, check_queries.reg)
 
 
 def queries() -> dict[str, Query]:

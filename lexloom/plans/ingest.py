@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -63,7 +63,10 @@ def ingest(spark: SparkSession, raw_dir: str, out_dir: str) -> Loaded:
     raw = files.raw_json(spark, raw_dir)
     made = build(files.matching(raw, ACT), files.matching(raw, AMENDMENT), files.matching(raw, RULES))
     assert_unique(made.nodes)
-    files.write_nodes(made.nodes.drop("quality"), f"{out_dir}/nodes")
-    files.write_edges(made.edges, f"{out_dir}/edges")
-    files.write_report(report.parse_report(made.nodes), f"{out_dir}/report")
+    # the jobs that write also count
+    seen, linked = Observation("nodes"), Observation("edges")
+    files.write_nodes(made.nodes.drop("quality").observe(seen, *report.kind_counts(), F.count("*").alias("nodes")), f"{out_dir}/nodes")
+    files.write_edges(made.edges.observe(linked, F.count("*").alias("edges")), f"{out_dir}/edges")
+    counts = spark.createDataFrame([{**seen.get, **linked.get}], ", ".join(f"{k} long" for k in (*report.KINDS, "nodes", "edges")))
+    files.write_report(report.report_of(counts), f"{out_dir}/report")
     return Loaded(spark.read.parquet(f"{out_dir}/nodes"), spark.read.parquet(f"{out_dir}/edges"), made.amendments, made.unresolved)

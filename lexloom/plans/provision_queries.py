@@ -19,6 +19,7 @@ from lexloom.operators.graph import union_all
 from lexloom.operators.link import AMENDMENT_TYPES, CONTAINS
 from lexloom.plans.registry import Registry, table
 from lexloom.plans.templates import TEMPLATES, Graph
+from lexloom.tables import materialize
 
 reg = Registry()
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -142,7 +143,7 @@ _template("rel_counts", "select rel_type, count(*) as count from edges group by
 
 @reg.query(twin("select src, dst, rel_type from links"))
 def linked_edges(spark: SparkSession, d: str) -> DataFrame:
-    return link.link(nodes_of(spark, d)).select("src", "dst", "rel_type")
+    return link.link(materialize(nodes_of(spark, d), "provisions")).select("src", "dst", "rel_type")  # read by each kind of link
 
 
 @reg.query(WITH_NODES + " select uid, label, case label " + _BY_LABEL + " end as rel_type, parent from nodes where parent is not null")

@@ -26,6 +26,8 @@ def test_three_files_to_answers(spark, tmp_path):
     assert not [e for e in edges if e[2] == "sec-999"] and got.amendments.count() == 2
     checks = {r["check"]: r["n"] for r in report.integrity(again.nodes, again.edges).collect()}
     assert checks == {"orphans": 0, "broken_edges": 0, "repeated_uids": 0}
+    counted = spark.read.json(f"{tmp_path}/out/report").first()  # observed by the jobs that wrote
+    assert (counted["Section"], counted["Rule"], counted["nodes"], counted["edges"]) == (2, 1, again.nodes.count(), again.edges.count())
     state = {r["uid"]: r["state"]["status"] for r in resolve.effective_states(again.nodes, again.edges).collect()}
     assert state == {"sec-2": "original", "sec-135": "amended"}
     engine = Engine(spark, again.nodes, again.edges)

@@ -96,3 +96,13 @@ def test_states_and_days_agree_with_a_fold_for_each_day(spark):
             want = {r["uid"]: (r["state"]["current_text"], r["state"]["status"], len(r["state"]["amendment_chain"])) for r in resolve.effective_states(sections, edges, d).collect()}
             assert {u: got[u, d] for u in want} == want and got["s6", d] == (None, None, None)
     assert resolve.as_of(pairs.limit(0), states).collect() == []
+
+
+def test_texts_say_where_they_stand(spark):
+    nodes = spark.createDataFrame([
+        ("act", "Act", None, None, "Act", None, ""), ("ch", "Chapter", "act", "IV", "BOARDS", None, ""), ("s", "Section", "ch", "7", "Keeping", None, "All is kept"), ("ss", "SubSection", "s", "2", None, None, "(2) and more"), ("rs", "RuleSet", None, None, "Filing Rules", None, ""), ("r", "Rule", "rs", "3", "Forms", None, "File the form of the company"),
+        ("lost", "Clause", "nowhere", "a", None, None, "(a) x"), ("c1", "Clause", "c2", "a", None, None, "x"), ("c2", "Clause", "c1", "b", None, None, "y"),
+    ], "uid string, label string, parent string, number string, title string, term string, text string")
+    got = {r["uid"]: r["llm_text"] for r in report.in_context(report.preprocess(nodes)).collect()}
+    assert got["s"] == "Chapter IV - BOARDS > Section 7 (Keeping)\n\nAll is kept" and got["r"] == "Filing Rules > Rule 3 (Forms)\n\nFile the form of the company"
+    assert got["ss"] == "Act > Chapter IV > Section 7\n\n(2) and more" and got["lost"] is None and got["c1"] is None and len(got) == 9
