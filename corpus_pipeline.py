@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import near_copies, op5_rules, op6_language, op9_bpe, op10_decontaminate
-from lexloom.llm.common import materialize, release, small_batches, table
+from lexloom.llm.common import materialize, release, release_read, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        before, docs = docs, materialize(made, f"pipeline-{name}")
+        release_read(made)
         release(before)
     return docs

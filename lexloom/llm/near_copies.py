@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm import op7_simhash
-from lexloom.llm.common import byte_words, connected_components, materialize, release, small_batches
+from lexloom.llm.common import FEW, byte_words, connected_components, materialize, reading, release, small_batches
 from lexloom.llm.op7_simhash import simhash
 
 SHINGLE = 5
@@ -53,8 +53,8 @@ SHINGLE = 5
 COMMON, HOTTEST, CROWDED = 3, 1_000_000, 48
 #: 64-bit words of a bitmap.
 BITMAP = 16
-#: Rows that are broadcast at most; prints that a task remembers, so as to write a copy once; elements it counts and writes at once; words it remembers.
-BROADCAST, REMEMBERED, COUNTED, EMITTED, WORDS = 1_000_000, 200_000, 2_000_000, 100_000, 300_000
+#: Prints that a task remembers, so as to write a copy once; elements it counts and writes at once; words it remembers.
+REMEMBERED, COUNTED, EMITTED, WORDS = 200_000, 2_000_000, 100_000, 300_000
 
 
 class WordHashes(dict):
@@ -209,7 +209,7 @@ def prefixes(keyed: DataFrame, last: np.ndarray) -> DataFrame:
 
 def _few(df: DataFrame) -> DataFrame:
     """A written table, ready for a join: broadcast if its rows are few, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> DataFrame:
@@ -226,8 +226,10 @@ def similar(pairs: DataFrame, each: DataFrame, keyed: DataFrame, name: str) -> D
     row = lambda side: each.select(F.col("fp").alias(side), F.col("row").alias(f"row_{side}"), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
     met = pairs.distinct().join(row("a"), "a").join(row("b"), "b")
     asked = materialize(met.where(could("bits_a", "bits_b", "(n_a + n_b)")).select("a", "b", "row_a", "row_b"), f"{name}-pairs")
-    text = lambda side: keyed.join(_few(rows[side]), "row", "left_semi").select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}"))
-    rows = {side: materialize(asked.select(F.col(f"row_{side}").alias("row")).distinct(), f"{name}-rows") for side in "ab"}
+    text = lambda side: keyed.join(rows[side] if few else _few(rows[side]), "row", "left_semi").select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}"))
+    few = asked.count() <= FEW
+    rows = {side: asked.select(F.col(f"row_{side}").alias("row")).distinct() for side in "ab"}
+    rows = {side: F.broadcast(of) if few else materialize(of, f"{name}-rows") for side, of in rows.items()}
     both = asked.join(text("a"), "row_a").join(text("b"), "row_b")
     out = materialize(both.where(reach("text_a", "text_b")).select("a", "b"), name)
     for used in (asked, *rows.values()):
@@ -247,6 +249,8 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
     release(of_root)
     release(heads)
 
+    release(joined)
+
     # 2. pairs of different roots that meet in a prefix
     last = hottest(told.where("row is null"))
     index = prefixes(keyed, last).join(_few(close), F.col("fp") == F.col("b"), "left").select("key", "fp", "n", "at", F.coalesce("a", "fp").alias("root"))
@@ -259,15 +263,16 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
 
     shared = apart(index.repartition("key").distinct().withColumn("c", F.count("*").over(met)).where(F.col("c") > 1))
     # stars first: a bucket's members against its least and its greatest, one pair a member, so that groups shrink to a root
+    held = close
     for end in (F.min, F.max):
         pivot = shared.groupBy("key").agg(end(F.struct("fp", "n", "root")).alias("p"))
         star = shared.join(pivot, "key").where("root <> p.root and least(n, p.n) * 5 >= greatest(n, p.n) * 4").select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b"))
-        before, more = (close, shared), similar(star, each, keyed, "copies-stars")
-        close = materialize(close.unionByName(more), "copies-close")
-        roots = materialize(connected_components(close, "copies-contracted"), "copies-roots")
-        shared = apart(shared.drop("root").join(_few(roots), F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "at", "c", F.coalesce("root", "fp").alias("root")))
-        for used in (*before, more, roots):
+        more = similar(star, each, keyed, "copies-stars")
+        roots = connected_components(close.unionByName(more), "copies-contracted")
+        wider, shared = shared, apart(shared.drop("root").join(_few(roots), F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "at", "c", F.coalesce("root", "fp").alias("root")))
+        for used in (held, more, wider):
             release(used)
+        held, close = roots, roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     fits = "l.root <> r.root and least(l.n, r.n) * 5 >= greatest(l.n, r.n) * 4 and least(l.n - l.at, r.n - r.at) * 9 >= (l.n + r.n) * 4"
     # bitmaps join once for each member of a bucket, so that pairs which they rule out are never formed
     bare, shared = shared, materialize(shared.join(each.select("fp", "bits"), "fp"), "copies-members")
@@ -280,7 +285,7 @@ def links(keyed: DataFrame, told: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(outside.alias("l").join(dense.alias("r"), same).select(*pair))
     far = similar(pairs, each, keyed, "copies-far")
     every = materialize(close.unionByName(far), "copies-links")
-    for used in (each, close, shared, far):
+    for used in (each, held, shared, far):
         release(used)
     return every
 
@@ -289,10 +294,11 @@ def rooted(keyed: DataFrame) -> DataFrame:
     """(row, doc_id, text) -> row, doc_id, root: rows of one group share their root."""
     small_batches(keyed.sparkSession)
     prints = materialize(prints_of(keyed), "copies-prints")
-    roots = materialize(connected_components(links(keyed, prints), "copies-components"), "copies-groups")
+    found = links(keyed, prints)
+    roots = connected_components(found, "copies-components")
     flat = prints.where("row is not null").select("row", "fp").join(_few(roots), F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("root"))
     out = materialize(flat.join(keyed.select("row", "doc_id"), "row"), "copies-rooted")
-    for used in (prints, roots):
+    for used in (prints, found, roots):
         release(used)
     return out
 
@@ -314,4 +320,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stays = materialize(found.groupBy("root").agg(first.alias("first")).select("first.row"), "copies-stay")
     release(found)
-    return keyed.join(_few(stays), "row", "left_semi").select("doc.*")
+    return reading(keyed.join(_few(stays), "row", "left_semi").select("doc.*"), keyed, stays)

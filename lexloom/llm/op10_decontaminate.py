@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import let, materialize, words_of
+from lexloom.llm.common import let, materialize, reading, release_read, words_of
 
 WORDS, SIMILAR, RADIUS = 5, 0.8, 20
 BROADCAST, PARTS = 1_000_000, 19
@@ -119,19 +119,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], f"t string, item_id {dict(benchmark.dtypes)['item_id']}, similarity double, hamming int, start int")
     places = hits.groupBy("t", "item_id", "n", "k", "s").agg(F.array_sort(F.collect_set("p")).alias("places")).where(F.size("places") * 5 >= F.col("s") * 4)
     starts = materialize(places.select("t", "n", "k", "s", F.explode(starts_of(F.col("places"), F.col("s"))).alias("start")).groupBy("t", "n", "k", "s").agg(F.array_sort(F.collect_set("start")).alias("starts")), "bench-starts")
-    some = docs.select(_digest(), "text").join(_bounded(starts.select("t").distinct()), "t", "left_semi").dropDuplicates(["t"])
+    texts = _bounded(starts.select("t").distinct())
+    some = docs.select(_digest(), "text").join(texts, "t", "left_semi").dropDuplicates(["t"])
     wanted = some.join(starts, "t").select("t", "n", "k", "s", "starts", lowered(F.col("text")).alias("w"))
     hashed = wanted.select("t", "n", "k", "s", "starts", F.coalesce(*[F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in sizes]).alias("all"))
     fits = lambda x: F.when(x == WHOLE, F.size("all").between(F.ceil(F.col("s") * 4 / 5), F.col("s") - 1)).otherwise(x + F.col("s") <= F.size("all"))
     windows = hashed.select("t", "n", "k", "s", F.explode(F.transform(F.filter("starts", fits), lambda x: F.struct(F.greatest(x, F.lit(0)).alias("start"), F.slice("all", F.greatest(x, F.lit(0)) + 1, F.col("s")).alias("hashes")))).alias("x")).select("t", "n", "k", "s", "x.*")
     printed = materialize(windows.withColumn("fp", fingerprint(F.col("hashes"))), "bench-windows")
+    release_read(texts)
     blocked = items.select("item_id", "n", "hashes", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block")).withColumnRenamed("hashes", "item_hashes")
     near = F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}")
     # a pair of fingerprints meets in each block that they share; the first one reports it
     first = F.array_position(F.zip_with(blocks(F.col("fp")), blocks(F.col("item_fp")), lambda x, y: x == y), F.lit(True)) - 1 == F.shiftright("block", 8)
     met = printed.withColumn("block", F.explode(blocks(F.col("fp")))).join(small(blocked), ["n", "block"]).where(near & first)
     exact = met.select("t", "item_id", "start", similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity"), F.expr("cast(bit_count(fp ^ item_fp) as int)").alias("hamming")).where(F.col("similarity") >= SIMILAR)
-    return exact.groupBy("t", "item_id").agg(_best()).select("t", "item_id", "best.*")
+    return reading(exact.groupBy("t", "item_id").agg(_best()).select("t", "item_id", "best.*"), items, starts, printed)
 
 
 def _best() -> Column:
@@ -140,8 +142,9 @@ def _best() -> Column:
 
 def _bounded(df: DataFrame) -> DataFrame:
     """Ready for a join: broadcast if its rows are few, else left to a shuffle."""
-    df = materialize(df, "bench-bounded")
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+    held = materialize(df, "bench-bounded")
+    release_read(df)
+    return reading(F.broadcast(held) if held.limit(BROADCAST + 1).count() <= BROADCAST else held, held)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -152,5 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (text, ...) without the rows whose text holds an item of the benchmark (item_id, text)."""
-    found = _bounded(leaks(docs, benchmark).select("t").distinct())
-    return docs.select(F.struct(*docs.columns).alias("doc"), _digest()).join(found, "t", "left_anti").select("doc.*")
+    every = leaks(docs, benchmark)
+    found = _bounded(reading(every.select("t").distinct(), *getattr(every, "_lexloom_reads", ())))
+    out = docs.select(F.struct(*docs.columns).alias("doc"), _digest()).join(found, "t", "left_anti").select("doc.*")
+    return reading(out, *found._lexloom_reads)

@@ -137,7 +137,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     own = own.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     edges = materialize(alias_edges(pages), "url-edges")
     if edges.take(1):
-        groups = materialize(connected_components(edges, "url-components"), "url-groups")
+        groups = connected_components(edges, "url-components")
         name = F.col("node")
         ruled = groups.withColumn("own", rule_of(host_of(name), path_of(name), rules))
         verdicts = ruled.groupBy("root").agg(F.max((F.col("own.verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("own.verdict") == "block").cast("int")).alias("blocked"))

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, let, materialize, words_of
+from lexloom.llm.common import SPACE, let, materialize, reading, release, words_of
 
 #: Bound on the labelled rows that rules are learned from.
 SAMPLE = 20_000
@@ -158,9 +158,13 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
 def learn(rows: DataFrame) -> list[Rule]:
     """Decision list: the rules that reject, in order."""
     rows = materialize(rows, "rules-sample")
+    rules = _list(rows) if rows.select("bad").distinct().count() > 1 else []
+    release(rows)
+    return rules
+
+
+def _list(rows: DataFrame) -> list[Rule]:
     rules: list[Rule] = []
-    if rows.select("bad").distinct().count() < 2:
-        return rules
     grid = _grid(rows)
     rest = rows
     while len(rules) < MOST_RULES:
@@ -199,12 +203,13 @@ def judged(docs: DataFrame, labels: DataFrame, *carried: str) -> DataFrame:
     measured = materialize(statistics(docs, *carried), "rules-measured")
     rules = learn(labelled_sample(measured, labels))
     found = measured.withColumn("rule", decision(rules, "s."))
-    return found.withColumn("kept", ~base_failed("s.") & F.col("rule").isNull())
+    return reading(found.withColumn("kept", ~base_failed("s.") & F.col("rule").isNull()), measured)
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without those that the base rules or the list reject."""
-    return judged(docs, labels, *docs.columns).where("kept").select("doc.*")
+    found = judged(docs, labels, *docs.columns)
+    return reading(found.where("kept").select("doc.*"), *found._lexloom_reads)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

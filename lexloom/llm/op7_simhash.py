@@ -98,7 +98,7 @@ def _pieces() -> Column:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs within RADIUS bits.
+    """Edges (a, b) whose components are those of all pairs within RADIUS bits; a table, to be released.
 
     ``prints`` has one column fp of distinct fingerprints.
     """
@@ -110,8 +110,10 @@ def links(prints: DataFrame) -> DataFrame:
     crowded = materialize(sizes.where(F.col("n") > CROWDED), "simhash-crowded")
     near = F.expr(f"bit_count(l.fp ^ r.fp) <= {RADIUS}")
     if not crowded.take(1):
-        release(prints)
-        return index.alias("l").join(index.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.fp < r.fp") & near & (F.col("l.key") == _first_shared("l.fp", "r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+        found = materialize(index.alias("l").join(index.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.fp < r.fp") & near & (F.col("l.key") == _first_shared("l.fp", "r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")), "simhash-links")
+        for used in (prints, index, crowded):
+            release(used)
+        return found
     # Sparse buckets: all pairs. Crowded buckets: stars first, then what stars left apart.
     sparse = index.join(crowded.select("key"), "key", "left_anti")
     edges = sparse.alias("l").join(sparse.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.fp < r.fp") & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
@@ -121,13 +123,13 @@ def links(prints: DataFrame) -> DataFrame:
     bits = members.select("fp", F.explode(F.array(*[F.expr(f"fp & {~(1 << j) if j < 63 else (1 << 63) - 1}L") for j in range(64)])).alias("rest"), F.lit(1).alias("one"))
     steps = bits.where("rest <> fp").join(members.select(F.col("fp").alias("rest")), "rest", "left_semi").select(F.col("fp").alias("a"), F.col("rest").alias("b"))
     edges = materialize(edges.unionByName(stars).unionByName(steps), "simhash-edges")
-    roots = materialize(connected_components(edges, "simhash-contracted"), "simhash-roots")
+    roots = connected_components(edges, "simhash-contracted")
     placed = materialize(dense.join(roots, dense.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     outside = placed.join(largest, "key").where("root <> largest").select("key", "fp", "root")
     outside, inside = (df.select("key", "fp", "root", F.explode(_pieces()).alias("piece")) for df in (outside, placed))
     more = outside.alias("l").join(inside.alias("r"), F.expr("l.key = r.key and l.piece = r.piece and l.root <> r.root") & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
-    every = materialize(edges.unionByName(more), "simhash-links")
+    every = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "simhash-links")
     for used in (prints, index, crowded, dense, edges, roots, placed):
         release(used)
     return every
@@ -135,8 +137,10 @@ def links(prints: DataFrame) -> DataFrame:
 
 def components(prints: DataFrame) -> DataFrame:
     """prints (fp, distinct) -> node, root: the fingerprints that have links, and the least one reachable."""
-    found = materialize(links(prints), "simhash-links")
-    return materialize(connected_components(found, "simhash-components"), "simhash-roots")
+    found = links(prints)
+    roots = connected_components(found, "simhash-components")
+    release(found)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -149,4 +153,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     groups = materialize(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-groups")
     ids = materialize(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     by_print = materialize(groups.join(ids, "root").select("fp", "component_id"), "simhash-by-print")
+    for used in (prints, roots, groups, ids):
+        release(used)
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,11 +3,13 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 import corpus_pipeline as pipeline
 from lexloom.llm import near_copies, op9_bpe
+from lexloom.llm.common import shared_dir
 from tests.llm.test_operators import base_of, leaks, made_docs, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,7 +97,10 @@ def test_stages_and_run(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() <= before.count()
     last = {tuple(r) for r in docs.collect()}
+    there = set(Path(shared_dir(spark), "lexloom").iterdir())
     assert last and {tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()} == last
+    left = {p.name.rsplit("-", 1)[0] for p in set(Path(shared_dir(spark), "lexloom").iterdir()) - there}
+    assert left == {"pipeline-bpe_encoding"}  # what the result reads
     kept = {r["doc_id"] for r in docs.collect()}
     assert 80 not in kept and 81 not in kept  # copies of document 5
     assert not kept & {83, 84, 85, 87}  # null, empty, blank and wordless texts
