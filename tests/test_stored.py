@@ -1,9 +1,10 @@
 import uuid
 
+import duckdb
 import pytest
 
+from lexloom.plans import catalogue, stored
 from lexloom.plans import provision_queries as provisions
-from lexloom.plans import stored
 from lexloom.plans.templates import TEMPLATES, Graph
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,19 @@ def test_moved_edges_would_be_seen(spark, graphs, tmp_path, monkeypatch):
     assert moved(plan_of(spark, TEMPLATES["amended_sections"](kept, limit=None)))
     for side, _ in stored.SIDES:
         spark.sql(f"drop table {name}_{side}")
+
+
+def test_of_lines_of_one_number_the_last_in_its_file_wins(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.sql("set threads = 1")
+    made = {"customer": "select 0::bigint as c_custkey, 1.0::double as c_acctbal", "supplier": "select range as s_suppkey, 1.0::double as s_acctbal from range(50)", "orders": "select range as o_orderkey, 0::bigint as o_custkey from range(2000)"}
+    for name, sql in made.items():
+        duck.sql(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        duck.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k, size in enumerate((1000, 200_000)):  # Spark reads the larger file first
+        rows = f"select 1999 - range % 2 as l_orderkey, range % 50 as l_suppkey, 1::int as l_linenumber, 'A' as l_returnflag, {k * 1000} + range // 50 % 100 + 0.0::double as l_quantity from range({size})"
+        duck.sql(f"copy ({rows}) to '{tmp_path}/lineitem.parquet/part-{k}.parquet' (format parquet)")
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = catalogue.queries()["upserted_edges"](spark, str(tmp_path)).select("src", "dst", "rel_type", "quantity")
+    assert sorted(map(tuple, found.collect())) == sorted(duck.sql(catalogue.oracle_sql()["upserted_edges"]).fetchall()) == [(0, i, "A", 1099.0) for i in range(50)]
