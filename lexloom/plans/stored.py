@@ -28,8 +28,9 @@ def even(df: DataFrame, key: str, buckets: int) -> bool:
 
 def store(graph: Graph, name: str, path: str, buckets: int = BUCKETS) -> Graph:
     """Writes the tables ``<name>_nodes``, ``<name>_edges_by_src`` and ``<name>_edges_by_dst`` under a shared path."""
+    edges = graph.edges
     for side, key in SIDES:
-        df = graph.nodes if side == "nodes" else graph.edges
+        df = graph.nodes if side == "nodes" else edges
         if even(df, key, buckets):
             writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
         else:

@@ -3,6 +3,7 @@ import uuid
 import duckdb
 import pytest
 
+from lexloom.operators import link
 from lexloom.plans import catalogue, stored
 from lexloom.plans import provision_queries as provisions
 from lexloom.plans.templates import TEMPLATES, Graph
@@ -91,3 +92,22 @@ def test_of_lines_of_one_number_the_last_in_its_file_wins(spark, tmp_path):
     duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     found = catalogue.queries()["upserted_edges"](spark, str(tmp_path)).select("src", "dst", "rel_type", "quantity")
     assert sorted(map(tuple, found.collect())) == sorted(duck.sql(catalogue.oracle_sql()["upserted_edges"]).fetchall()) == [(0, i, "A", 1099.0) for i in range(50)]
+
+
+def test_linking_some_types_gives_their_edges_and_looks_up_one_end(spark):
+    nodes = provisions.nodes_of(spark, SF)
+    rows = lambda df: sorted(map(tuple, df.select("src", "dst", "rel_type").collect()))
+    every = rows(link.link(nodes))
+    for kinds in (("HAS_SUBSECTION",), ("REFERS_TO", "DERIVED_RULE"), ("SUBJECT_TO", "HAS_CLAUSE"), ("OMITS",)):
+        assert rows(link.link(nodes, kinds)) == [r for r in every if r[2] in kinds]
+    plan = link.link(nodes, ("HAS_SECTION",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and "regexp" not in plan.lower()
+
+
+def test_templates_without_hops_write_nothing_and_hops_link_their_types_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(provisions, "materialize", lambda df, name: written.append(name) or df)
+    TEMPLATES["all_definitions"](provisions.graph_of(spark, SF))
+    assert written == []
+    TEMPLATES["penalty_bundle"](provisions.graph_of(spark, SF), n="7")
+    assert sorted(written) == ["provision-edges"] * 4 + ["provisions"]  # subsections, clauses, subclauses, rules
