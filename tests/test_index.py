@@ -110,3 +110,43 @@ def test_a_stream_keeps_it_current(spark, tmp_path):
         index_stream(stream, index, f"{tmp_path}/checkpoint", most=2).awaitTermination()
     assert len(index.segments()) <= 2
     agrees(spark, index, docs)
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written for others so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_neither_texts_nor_postings_are_shuffled(spark, tmp_path):
+    docs = {f"n{i}": " ".join(random.choices(WORDS, k=300)) for i in range(400)}
+    rows = spark.createDataFrame(list(docs.items()), "uid string, text string").repartition(4)
+    rows.write.parquet(f"{tmp_path}/in")
+    index, before = Index(spark, f"{tmp_path}/index", ("text",), parts=2), shuffled(spark)
+    index.upsert(spark.read.parquet(f"{tmp_path}/in"))
+    assert shuffled(spark) - before < sum(map(len, docs.values())) / 5
+    agrees(spark, index, docs)
+
+
+def test_marks_about_merged_segments_count_once(spark, tmp_path):
+    """A large segment that stays has marked documents of a small one that is merged."""
+    index, docs = Index(spark, f"{tmp_path}/index", ("text",), parts=2, block_bits=3), {}
+    for k, n in ((0, 8), (4, 40), (60, 4), (70, 3), (80, 3)):
+        new = {f"n{i}": f"{WORDS[0]} {text()}" for i in range(k, k + n)}
+        index.upsert(frame(spark, new))
+        docs |= new
+    index.merge(4)
+    assert len(index.segments()) == 2
+    agrees(spark, index, docs)
+
+
+def test_blocks_are_whole_over_several_runs_of_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "RUN", 50)
+    monkeypatch.setattr(module, "ROWS", 7)
+    monkeypatch.setattr(module, "DOCS", 3)
+    docs = {f"n{i}": text() for i in range(60)} | {"twice": "one two one"}
+    batches = [spark.createDataFrame([(u, t)], "uid string, text string") for u, t in (("twice", "one two"), ("none", None))]
+    made = frame(spark, docs).unionByName(batches[0]).unionByName(batches[1]).coalesce(1)
+    index = Index(spark, f"{tmp_path}/index", ("text",), parts=2, block_bits=3)
+    index.upsert(made)
+    agrees(spark, index, docs | {"none": None})
+    assert index.near(["oen"]) == pytest.approx({t: 1 - distance("oen", t) / min(3, len(t)) for t in {w for x in docs.values() for w in x.split()} if distance("oen", t) <= 2 and distance("oen", t) < min(3, len(t))})
