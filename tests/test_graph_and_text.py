@@ -251,3 +251,27 @@ def test_stream_upserts_are_idempotent(spark, tmp_path):
     (src / "2.json").write_text(json.dumps({"label": "Section", "uid": "sec-1", "text": "b", "ord": 2}))
     ingest.upsert_into(ingest.node_stream(spark, str(src), schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
     assert [r["text"] for r in ingest.current(spark, str(tmp_path / "t")).collect()] == ["b"]
+
+
+def test_scores_read_a_text_once_for_each_count(spark):
+    """Each pattern stands once in the plan of a score: bound counts aren't taken anew where they are used."""
+    from lexloom.functions import text as T
+
+    df = spark.createDataFrame([("a",)], "text string")
+    for made in (T.audit_score(F.col("text")), T.is_garbled(F.col("text"))):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(?U)\\s+") == 1
+
+
+def test_counts_of_odd_texts(spark):
+    from lexloom.functions import text as T
+
+    texts = ["", " ", "　  ", "a", " a b c \n", "○●□ ··¶ a†", "Section section, act-act Act1 _act act", "x\u0085y z", "\t\x00\x01\x02 ○○ . . . . . . ", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(T.stripped_length(F.col("text")), T.glyph_count(F.col("text"), T.NOISE_GLYPHS), T.legal_count(F.col("text")), T.nonspace(F.col("text")), T._dense(T._spaced(F.col("text")))).collect()
+    for t, (n, glyphs, legal, dense, same) in zip(texts, got):
+        if t is None:
+            assert n is None and glyphs is None
+            continue
+        bare = t.strip("\t\n\x0b\x0c\r \u0085   　")
+        assert n == len(bare) and glyphs == sum(c in T.NOISE_GLYPHS for c in t) and dense == same
+        assert legal == (4 + 1 if t.startswith("Section") else 0)
