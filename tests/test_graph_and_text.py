@@ -260,7 +260,7 @@ def test_scores_read_a_text_once_for_each_count(spark):
     df = spark.createDataFrame([("a",)], "text string")
     for made in (T.audit_score(F.col("text")), T.is_garbled(F.col("text"))):
         plan = df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("(?U)\\s+") == 1
+        assert plan.count("(?U)[\\s&&[^ ]]") == 1
 
 
 def test_counts_of_odd_texts(spark):
