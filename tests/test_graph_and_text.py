@@ -275,3 +275,17 @@ def test_counts_of_odd_texts(spark):
         bare = t.strip("\t\n\x0b\x0c\r \u0085   　")
         assert n == len(bare) and glyphs == sum(c in T.NOISE_GLYPHS for c in t) and dense == same
         assert legal == (4 + 1 if t.startswith("Section") else 0)
+
+
+def test_a_walk_doubles_only_parents(spark, monkeypatch):
+    """Leaves take no part in the rounds, and get what their parent has."""
+    from lexloom.operators import graph
+
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append((name, out := keep(df, name), out.count())) or out)
+    rows = [("r", None), ("a", "r"), ("b", "a"), ("lone", None), ("x", "y"), ("y", "x"), ("onx", "x"), ("l", "gone"), ("m", "l")] + [(f"leaf{i}", "b") for i in range(50)]
+    got = {r["uid"]: tuple(r)[1:] for r in graph.walk(spark.createDataFrame(rows, "uid string, parent string")).collect()}
+    reached = lambda root, depth: (root, depth, "reached")
+    assert got == {"r": reached("r", 0), "a": reached("r", 1), "b": reached("r", 2), "lone": reached("lone", 0), "l": (None, None, "lost"), "m": (None, None, "lost")} | {u: (None, None, "cycle") for u in ("x", "y", "onx")} | {f"leaf{i}": reached("r", 3) for i in range(50)}
+    assert max(n for name, _, n in written if name == "walk") == 6
