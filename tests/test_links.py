@@ -38,7 +38,7 @@ def test_clauses_are_those_of_the_sql(spark, tables):
     assert found.where("label = 'Clause' and parent is null").count() > 0 and found.where("label = 'Clause' and parent is not null and uid is null").count() > 0
 
 
-@pytest.mark.parametrize("name", ["linked_edges"])
+@pytest.mark.parametrize("name", ["linked_edges", "load_summary"])
 def test_links_of_odd_tables_equal_the_sql(spark, tables, name):
     duck, d = tables
     sql = catalogue.oracle_sql()[name]
