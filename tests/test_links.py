@@ -4,6 +4,7 @@ import pytest
 from lexloom.operators import link, report
 from lexloom.plans import catalogue
 from lexloom.plans import provision_queries as provisions
+from lexloom.plans.templates import TEMPLATES, Graph
 
 NODE = "uid string, label string, parent string, title string, text string, ref_text string"
 N = lambda uid, label, parent=None, text="", title=None: (uid, label, parent, title, text, text)
@@ -66,3 +67,16 @@ def test_integrity_counts_null_and_repeated_ends(spark):
     assert found == {"orphans": 4, "broken_edges": 3, "repeated_uids": 2}
     empty = {r["check"]: r["n"] for r in report.integrity(nodes.limit(0), edges.limit(0)).collect()}
     assert empty == {"orphans": 0, "broken_edges": 0, "repeated_uids": 0}
+
+
+@pytest.mark.parametrize("name,slots", [("section_with_subsections", {"n": "7"})])
+def test_hops_from_some_nodes_read_what_leads_from_them(spark, tables, monkeypatch, name, slots):
+    duck, d = tables
+    nodes, written = provisions.nodes_of(spark, d), []
+    whole = TEMPLATES[name](Graph(nodes, link.link(nodes)), **slots)
+    keep = provisions.materialize
+    monkeypatch.setattr(provisions, "materialize", lambda df, name: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name))
+    found = TEMPLATES[name](provisions.graph_of(spark, d), **slots)
+    assert rows(found.select(whole.columns)) == rows(whole) != []
+    assert {n for n, _ in written} == {"provision-edges"} and not any("l_linenumber" in plan for _, plan in written)
+    assert "l_linenumber" not in found._jdf.queryExecution().optimizedPlan().toString()
