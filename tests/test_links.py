@@ -69,7 +69,7 @@ def test_integrity_counts_null_and_repeated_ends(spark):
     assert empty == {"orphans": 0, "broken_edges": 0, "repeated_uids": 0}
 
 
-@pytest.mark.parametrize("name,slots", [("section_with_subsections", {"n": "7"})])
+@pytest.mark.parametrize("name,slots", [("section_with_subsections", {"n": "7"}), ("chapters_without_rules", {})])
 def test_hops_from_some_nodes_read_what_leads_from_them(spark, tables, monkeypatch, name, slots):
     duck, d = tables
     nodes, written = provisions.nodes_of(spark, d), []
