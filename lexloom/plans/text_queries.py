@@ -101,7 +101,7 @@ AUDIT_FORMS = f"len(regexp_extract_all(text, '{q(T.AUDIT_FORM)}'))"
 
 @reg.query(f"select doc_id, round(least(greatest(((100 - least({GARBLE} * 20, 100)) * 0.3 + (case when length(trim(text)) < 50 then length(trim(text)) * 2.0 else 100.0 end) * 0.15 + least({AUDIT_DENSITY} * 500, 100.0) * 0.25 + greatest(0.0, 100.0 - {AUDIT_NOISE} * 200 - {PUNCT} * 100 - {AUDIT_FORMS} * 10) * 0.3) * (case when {GARBLE} > 0 then 0.5 else 1.0 end), 0.0), 100.0), 1) as overall from documents")
 def audit_quality_score(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.audit_score(F.col("text")).alias("overall"))
+    return table(spark, d, "documents").select("doc_id", T.sql_audit_score(F.col("text")).alias("overall"))
 
 
 @reg.query(f"""with x as (select d.doc_id, case when (length(trim(text)) between 1 and 4) or ({CONTENT} < 0.25 and length(text) > 30) then 'garbled' when length(trim(text)) = 0 then 'empty' when {SCORE} < 35 then 'unusable' when l.quality = 0 then 'labelled_bad' else 'kept' end as drop_reason from documents d left join labels l on l.doc_id = d.doc_id)
